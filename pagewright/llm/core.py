@@ -59,8 +59,24 @@ def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def map_batches(df: DataFrame, add: str, fn) -> DataFrame:
-    """df with the columns of the DDL string `add`, which fn(batch) returns as a dict of arrays for each Arrow batch."""
+def slices(b: pa.RecordBatch, text: str | None, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with at most `most` bytes in the column text (a longer row stands alone)."""
+    if text is None or b.num_rows < 2:
+        yield b
+        return
+    _, offsets = buffers(b.column(text))
+    i = 0
+    while i < b.num_rows:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
+        yield b.slice(i, j - i)
+        i = j
+
+
+def map_batches(df: DataFrame, add: str, fn, text: str | None = None, most: int = 8 << 20) -> DataFrame:
+    """df with the columns of the DDL string `add`, which fn(batch) returns as a dict of arrays.
+
+    Batches hold at most `most` bytes in the column text, if one is named. Columns of df with added names are replaced.
+    """
     from pyspark.sql.types import StructType
 
     extra = StructType.fromDDL(add)
@@ -69,11 +85,12 @@ def map_batches(df: DataFrame, add: str, fn) -> DataFrame:
     kinds = [pa.field(f.name, arrow_type(f.dataType)) for f in extra.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                got = fn(b)
-                cols = [c if isinstance(c, pa.Array) and c.type == k.type else pa.array(c, type=k.type) for c, k in ((got[k.name], k) for k in kinds)]
-                yield pa.RecordBatch.from_arrays([*b.columns, *cols], schema=pa.schema([*b.schema, *kinds]))
+        for whole in batches:
+            for b in slices(whole, text, most):
+                if b.num_rows:
+                    got = fn(b)
+                    cols = [c if isinstance(c, pa.Array) and c.type == k.type else pa.array(c, type=k.type) for c, k in ((got[k.name], k) for k in kinds)]
+                    yield pa.RecordBatch.from_arrays([*b.columns, *cols], schema=pa.schema([*b.schema, *kinds]))
 
     return base.mapInArrow(run, schema)
 

@@ -122,7 +122,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
         got = [score_text(t, n, table) for t in b.column(text).to_pylist()]
         return {"lang_pred": [g[0] for g in got], "score": [g[1] for g in got]}
 
-    return map_batches(docs, "lang_pred string, score double", fn)
+    return map_batches(docs, "lang_pred string, score double", fn, text)
 
 
 def held_out(key: str):
