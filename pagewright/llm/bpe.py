@@ -14,17 +14,17 @@ tokens are found in the raw text first.
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 import json
 import os
 import re
+import sys
 import tempfile
 import unicodedata
-import hashlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +36,19 @@ LONGEST_WORD = 48  # bytes; longer words are merged, not looked up
 CACHE_WORDS = 200_000  # merged words that a worker remembers
 SUFFIX = "</w>"
 
-#: Fixed values of the tokenizer's pre-tokenizer.
+#: The tokenizer's white space, and its word pattern (contractions, letters, one number, anything else).
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + SPACES + r"\p{L}\p{N}]+")
+
+
+def char_class(kind: str) -> str:
+    """Ranges of the code points whose general category starts with kind, for use between brackets."""
+    code = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == kind]
+    cuts = [0, *[i for i in range(1, len(code)) if code[i] != code[i - 1] + 1], len(code)]
+    return "".join(f"\\U{code[a]:08x}-\\U{code[b - 1]:08x}" for a, b in zip(cuts, cuts[1:]))
+
+
+_L, _N = char_class("L"), char_class("N")
+WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{SPACES}{_L}{_N}]+")
 SPLIT = re.compile(f"[{SPACES}]+")
 #: What str.split() takes for white space and the tokenizer does not.
 ODD = re.compile("[\x1c-\x1f]")
