@@ -320,8 +320,9 @@ def compile_lexicon(spark, path: str, words: list[str]) -> str:
     write_lexicon(local, read_tokenizer(path), words)
     with open(local, "rb") as f:
         name = f"lexicon-{hashlib.sha256(f.read()).hexdigest()[:24]}"
-    os.rename(local, local := os.path.join(os.path.dirname(local), name))
-    spark.sparkContext.addFile(local)
+    if not any(x.endswith("/" + name) for x in spark.sparkContext.listFiles):
+        os.rename(local, local := os.path.join(os.path.dirname(local), name))
+        spark.sparkContext.addFile(local)
     return name
 
 
