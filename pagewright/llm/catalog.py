@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, exact_dedup, lang_id, substring_dedup
+from . import bpe, chat, decontaminate, exact_dedup, lang_id, pii, substring_dedup, url_filter
 
-MODULES = [decontaminate, bpe, exact_dedup, substring_dedup, lang_id, chat]
+MODULES = [decontaminate, bpe, exact_dedup, url_filter, substring_dedup, pii, lang_id, chat]
 
 
 def queries() -> dict:
