@@ -29,6 +29,8 @@ TRAIN_PAGES = 1500
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe noframes xmp svg math select object canvas".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that hold one stretch of text.
+LINES = frozenset("p li h1 h2 h3 h4 h5 h6 td th tr dt dd pre blockquote".split())
 #: Start tags that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: Start tags that end an open element of these kinds, looked for up to the nearest of the others.
@@ -55,13 +57,14 @@ class Page:
                 own[i] += k
                 links[i] += k * link
         self.own = list(own)
-        kids = [0] * n
+        kids, titled = [0] * n, [False] * n
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
             own[p] += own[i]
             links[p] += links[i]
             kids[p] += self.tag[i] == "p"
-        self.size, self.links, self.paragraphs = own, links, kids
+            titled[p] |= self.tag[i] == "h1"
+        self.size, self.links, self.paragraphs, self.titled = own, links, kids, titled
 
     def _read(self, s: str) -> None:
         stack = [0]
@@ -130,7 +133,10 @@ class Page:
     def features(self, i: int) -> list[tuple]:
         n, total = self.size[i], max(1, self.size[0])
         share = self.links[i] / n if n else 0
-        return [("size", min(8, n.bit_length() // 2)), ("links", round(share * 4) if n else 5), ("share", round(4 * n / total)), ("paragraphs", min(3, self.paragraphs[i])), *[("name", x) for x in self.names[i]]]
+        out = [("links", round(share * 4) if n else 5), *[("name", x) for x in self.names[i]]]
+        if self.tag[i] not in LINES:  # in lines of text the amount says little, and there are many of them
+            out += [("size", min(8, n.bit_length() // 2)), ("share", round(4 * n / total)), ("paragraphs", min(3, self.paragraphs[i])), ("titled", self.titled[i])]
+        return out
 
     def text(self, content) -> str:
         """The pieces of nodes for which content[node] holds, blocks joined by one blank."""
