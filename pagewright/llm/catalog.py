@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, exact_dedup, html_text, lang_id, pii, substring_dedup, url_filter
+from . import bpe, chat, decontaminate, exact_dedup, html_text, jaccard_join, lang_id, pii, substring_dedup, url_filter
 
-MODULES = [decontaminate, bpe, exact_dedup, html_text, url_filter, substring_dedup, pii, lang_id, chat]
+MODULES = [decontaminate, bpe, jaccard_join, exact_dedup, html_text, url_filter, substring_dedup, pii, lang_id, chat]
 
 
 def queries() -> dict:
