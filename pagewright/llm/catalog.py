@@ -7,8 +7,14 @@ from . import bpe, chat, decontaminate, exact_dedup, html_text, jaccard_join, la
 MODULES = [decontaminate, bpe, jaccard_join, exact_dedup, html_text, url_filter, substring_dedup, pii, lang_id, chat]
 
 
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {k: f for m in MODULES for k, f in m.QUERIES.items()}
+    return {k: f for m in MODULES for k, f in m.QUERIES.items()} | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict:

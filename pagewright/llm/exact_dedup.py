@@ -83,6 +83,11 @@ def drop_exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_i
     return once.unionByName(again).drop("keep_id", "group_size", "kept")
 
 
+def stage_exact_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: one document of each group of equal texts."""
+    return drop_exact_duplicates(docs).select(*docs.columns)
+
+
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
