@@ -54,6 +54,9 @@ SPLIT = re.compile(f"[{SPACES}]+")
 ODD = re.compile("[\x1c-\x1f]")
 
 
+_NONE = np.int64(2**62)
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -88,6 +91,12 @@ class Merger:
         self.last = [ids.get(s + SUFFIX, -1) for s in symbols]
         self.rules = {(a, b): (r, c) for r, (a, b, c) in enumerate(merges.tolist())}
         self.cache: dict[str, list[int]] = {}
+        self.piece_cache: dict[str, list[int]] = {}
+        self.inner_ids, self.last_ids = np.array(self.inner, np.int64), np.array(self.last, np.int64)
+        m = merges.astype(np.int64).reshape(-1, 3)
+        keys = (m[:, 0] << 32) | m[:, 1]
+        order = np.argsort(keys, kind="stable")
+        self.pair_keys, self.pair_ranks, self.results = keys[order], order, m[:, 2].copy()
 
     def piece(self, word: str) -> list[int]:
         raw = word.encode("utf-8", "replace")
@@ -124,6 +133,68 @@ class Merger:
                 heapq.heappush(heap, (r, h, *p, d))
         return [x for x in s if x >= 0]
 
+    def pieces(self, pieces: list[str]) -> list[list[int]]:
+        """piece() of many: all words take their next merge (lowest rank, then leftmost) together, until none has one."""
+        out: list = [None] * len(pieces)
+        raw = [x.encode("utf-8", "replace") for x in pieces]
+        short = [i for i, x in enumerate(raw) if len(x) <= LONGEST_WORD]
+        for i in {*range(len(raw))}.difference(short):
+            out[i] = self.piece(pieces[i])
+        if not short or not len(self.pair_keys):
+            return [x if x is not None else self.piece(p) for x, p in zip(out, pieces, strict=True)]
+        lens = np.array([len(raw[i]) for i in short])
+        ends = np.cumsum(lens)
+        data = np.frombuffer(b"".join([raw[i] for i in short]), np.uint8)
+        ids = self.inner_ids[data]
+        ids[ends - 1] = self.last_ids[data[ends - 1]]
+        word = np.repeat(np.arange(len(short)), lens)
+        keep = ids >= 0
+        ids, word = ids[keep], word[keep]
+        done_ids, done_words = [], []
+        while len(ids):
+            at = np.searchsorted(self.pair_keys, key := (ids[:-1] << 32) | ids[1:])
+            at[at == len(self.pair_keys)] = 0
+            score = np.full(len(ids), _NONE)
+            good = (self.pair_keys[at] == key) & (word[:-1] == word[1:])
+            score[:-1][good] = (self.pair_ranks[at[good]] << 32) | np.flatnonzero(good)
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            best = np.minimum.reduceat(score, first)
+            more = best < _NONE
+            stay = np.repeat(more, np.diff(np.append(first, len(ids))))
+            done_ids.append(ids[~stay])
+            done_words.append(word[~stay])
+            place = best[more] & 0xFFFFFFFF
+            ids[place] = self.results[best[more] >> 32]
+            stay[place + 1] = False
+            ids, word = ids[stay], word[stay]
+        ids, word = np.concatenate(done_ids), np.concatenate(done_words)
+        order = np.argsort(word, kind="stable")
+        ids = ids[order].tolist()
+        cuts = np.searchsorted(word[order], np.arange(len(short) + 1)).tolist()
+        for k, i in enumerate(short):
+            out[i] = ids[cuts[k] : cuts[k + 1]]
+        return out
+
+    def words(self, words: list[str]) -> list[list[int]]:
+        """word() of many distinct words."""
+        cache = self.cache
+        new = [w for w in words if w not in cache]
+        split = [WORD.findall(w) for w in new]
+        names = list({p for x in split for p in x if p not in self.piece_cache})
+        if len(self.piece_cache) + len(names) > CACHE_WORDS:
+            self.piece_cache.clear()
+            names = list({p for x in split for p in x})
+        known = self.piece_cache
+        known.update(zip(names, self.pieces(names), strict=True))
+        if len(cache) + len(new) > CACHE_WORDS:
+            kept = [cache.get(w) for w in words]
+            cache.clear()
+        else:
+            kept = [cache.get(w) for w in words]
+        fresh = [known[x[0]] if len(x) == 1 else [i for p in x for i in known[p]] for x in split]
+        cache.update(zip(new, fresh, strict=True))
+        return [k if k is not None else cache[w] for k, w in zip(kept, words, strict=True)]
+
     def word(self, word: str) -> list[int]:
         got = self.cache.get(word)
         if got is None:
@@ -217,7 +288,7 @@ def write_lexicon(path: str, tokenizer: dict, words: list[str]) -> None:
     merger = Merger(tokenizer["tokens"], tokenizer["merges"])
     raw = sorted({w.encode("utf-8", "replace") for w in words if w})
     ids = [merger.word(w.decode()) for w in raw]
-    ends = np.cumsum([0, *map(len, ids)]).astype(np.int64)
+    ends = np.cumsum([0, *map(len, ids), 0]).astype(np.int64)
     arrays = build_transducer(raw) | {"ends": ends, "ids": np.array([i for x in ids for i in x], np.int32), "merges": tokenizer["merges"], "tokens": np.frombuffer("\0".join(tokenizer["tokens"]).encode(), np.uint8)}
     head, at = {}, 0
     for k, v in arrays.items():
@@ -238,9 +309,9 @@ class Lexicon:
         with open(path, "rb") as f:
             line = f.readline()
         head, raw = json.loads(line), np.memmap(path, np.uint8, "r")
-        a = {k: raw[len(line) + at : len(line) + at + int(np.prod(shape)) * np.dtype(kind).itemsize].view(kind).reshape(shape) for k, (at, kind, shape) in head["arrays"].items()}
+        a = {k: raw[len(line) + at : len(line) + at + int(np.prod(shape)) * np.dtype(kind).itemsize].view(np.ndarray).view(kind).reshape(shape) for k, (at, kind, shape) in head["arrays"].items()}
         self.automaton = {k: a[k] for k in ("keys", "targets", "skips", "finals", "root")}
-        self.ends, self.ids = a["ends"], a["ids"]
+        self.ends, self.id_list = a["ends"], a["ids"].tolist()
         self.tokens = a["tokens"].tobytes().decode().split("\0")
         self.merger = Merger(self.tokens, a["merges"])
         self.added = head["added"]
@@ -250,7 +321,11 @@ class Lexicon:
         """Ids of distinct words; an integer stands for an added token."""
         text = [w if isinstance(w, str) else "" for w in words]
         rank = look_up(self.automaton, [w.encode("utf-8", "replace") for w in text])
-        return [[w] if not isinstance(w, str) else self.ids[self.ends[r] : self.ends[r + 1]].tolist() if r >= 0 else self.merger.word(w) for w, r in zip(words, rank.tolist(), strict=True)]
+        a, b = self.ends[rank].tolist(), self.ends[rank + 1].tolist()  # rank -1: unused
+        ids, rank = self.id_list, rank.tolist()
+        unseen = [w for w, r in zip(words, rank, strict=True) if r < 0 and isinstance(w, str)]
+        merged = iter(self.merger.words(unseen))
+        return [ids[i:j] if r >= 0 else next(merged) if isinstance(w, str) else [w] for w, r, i, j in zip(words, rank, a, b, strict=True)]
 
     def words(self, text: str) -> list:
         if self.find is None or "<" not in text or not self.find.search(text):
