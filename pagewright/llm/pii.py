@@ -129,7 +129,7 @@ def disclosing_terms(docs: DataFrame, near: DataFrame, text: str, key: str) -> D
     if rows.isEmpty():
         return rows.withColumn("disclosed", F.lit(0.0))
     wanted = rows.select("term").distinct()
-    rows = rows.join(both, ["entity", "term"]).join(entities, "entity").join(frequency.join(wanted, "term", "left_semi"), "term")
+    rows = rows.join(both, ["entity", "term"]).join(entities, "entity").join(frequency.join(wanted, "term"), "term")  # after counting: no row for each occurrence
     information = F.log2(F.lit(float(total)) / F.col("n_entity"))
     pmi = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
     rows = rows.select("entity", "term", F.when(information > 0, pmi / information).otherwise(F.lit(0.0)).alias("disclosed"))
