@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import lines, translation
+from . import lines, rasters, translation
 
-MODULES = [translation, lines]
+MODULES = [translation, lines, rasters]
 QUERIES: dict = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES: dict = {k: s for m in MODULES for k, s in m.ORACLES.items()}

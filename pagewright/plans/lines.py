@@ -99,7 +99,7 @@ _COMPONENTS = f"""
     WITH RECURSIVE e AS MATERIALIZED (SELECT page, a_id AS a, b_id AS b FROM {_MERGE} UNION ALL SELECT page, b_id, a_id FROM {_MERGE}),
     r(page, id, root) AS (SELECT page, id, id FROM {B} UNION SELECT r.page, r.id, e.b FROM r JOIN e ON e.page = r.page AND e.a = r.root)
     SELECT page, id, min(root) AS region_id FROM r GROUP BY page, id"""
-_POINTS = "(SELECT page, id, unnest([{'x': ax, 'y': ay}, {'x': bx, 'y': by}, {'x': cx, 'y': cy}, {'x': dx, 'y': dy}]) AS p FROM " + Q + ")"
+_POINTS = "(SELECT page, id, unnest([{'x': ax, 'y': ay}, {'x': bx, 'y': q.by}, {'x': cx, 'y': cy}, {'x': dx, 'y': dy}]) AS p FROM " + Q + " q)"
 
 
 def _points(s, d):
@@ -249,8 +249,8 @@ ORACLES = {
     "oriented_box": f"SELECT page, round(max(u) - min(u), 6) AS box_w, round(max(v) - min(v), 6) AS box_h FROM (SELECT page, cos(r) * (x - cx) + sin(r) * (y - cy) AS u, cos(r) * (y - cy) - sin(r) * (x - cx) AS v FROM (SELECT page, p.x AS x, p.y AS y, avg(p.x) OVER (PARTITION BY page) AS cx, avg(p.y) OVER (PARTITION BY page) AS cy, radians((page % 40 - 20)::DOUBLE) AS r FROM {_POINTS})) GROUP BY page",
     "majority_direction": f"SELECT * FROM {_DIR}",
     "reading_order": f"SELECT b.page, string_agg(id::VARCHAR, ',' ORDER BY CASE WHEN direction = 'h' THEN y1 + y2 ELSE -(x1 + x2) END, id) AS line_ids FROM {B} b JOIN {_DIR} d ON d.page = b.page GROUP BY b.page",
-    "poly_area": f"SELECT page, id, round(abs(ax * by - bx * ay + bx * cy - cx * by + cx * dy - dx * cy + dx * ay - ax * dy) / 2, 6) AS area FROM {Q}",
-    "seg_point_distance": f"SELECT page, id, round({_seg_sql('cx', 'cy', 'ax', 'ay', 'bx', 'by')}, 6) AS distance FROM {Q}",
+    "poly_area": f"SELECT page, id, round(abs(ax * q.by - bx * ay + bx * cy - cx * q.by + cx * dy - dx * cy + dx * ay - ax * dy) / 2, 6) AS area FROM {Q} q",
+    "seg_point_distance": f"SELECT page, id, round({_seg_sql('cx', 'cy', 'ax', 'ay', 'bx', 'q.by')}, 6) AS distance FROM {Q} q",
     "poly_distance": _poly_sql(),
     "unclip": f"SELECT page, id, round(w + 2 * (w * h * 2.3 / (2 * (w + h))), 6) AS w, round(h + 2 * (w * h * 2.3 / (2 * (w + h))), 6) AS h FROM (SELECT page, id, score, x2 - x1 AS w, y2 - y1 AS h FROM {B}) WHERE least(w, h) >= 7 AND score >= 700",
     "gap_merge": f"SELECT page, a_id, b_id FROM {_PAIRS} WHERE {_GAP} < 4",
