@@ -1,7 +1,7 @@
 """N-gram Jaccard join with a count-vector R-tree.
 
-A document is its set of five-word shingles; two link when 100 * |A & B| >= 80 * |A | B|. Shingles are hashed into GROUPS
-groups, and a set's counts by group are a point. For two sets the sum of the smaller counts bounds the overlap, and for two
+A document is its set of five-word shingles; two link when 100 * |A & B| >= 80 * |A | B|. Shingles are hashed into groups,
+and a set's counts by group are a point. For two sets the sum of the smaller counts bounds the overlap, and for two
 boxes of points the sum of the smaller upper corners does, so the R-tree over the points (CountTree) finds all pairs that can link;
 surviving pairs are verified on the sets. Pairs inside a component that is already known are skipped: the result is
 connected components, so a group of n copies costs about n checks, not n squared.
@@ -30,7 +30,9 @@ from .core import U64, components, cut, gram_hashes, mix, parts, salted_lookup,
 
 SHINGLE = 5
 LINK = (80, 100)
-GROUPS = 128
+#: (greatest set size, groups): larger sets need more groups for counts to tell them apart. A tree takes sizes from one
+#: bound to LINK times the next, so that two sets that can link always meet in one tree.
+GROUPS = [(1024, 128), (8192, 512), (2**62, 2048)]
 LEAF = 16
 CELLS = 1 << 20  # of the sketch: one byte each is broadcast
 SKETCH_BLOCKS = 64
@@ -53,8 +55,56 @@ def shingle_sets(col: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def point(s: np.ndarray) -> np.ndarray:
-    return np.bincount((mix(s) % U64(GROUPS)).astype(np.int64), minlength=GROUPS)
+def groups_of(n: int) -> int:
+    return next(g for most, g in GROUPS if n <= most)
+
+
+def point(s: np.ndarray, groups: int) -> np.ndarray:
+    return np.bincount((mix(s) % U64(groups)).astype(np.int64), minlength=groups)
+
+
+def pack_point(s: np.ndarray) -> bytes:
+    """Counts as bytes; 255 stands for 255 or more."""
+    return np.minimum(point(s, groups_of(len(s))), 255).astype(np.uint8).tobytes()
+
+
+def unpack_point(raw: bytes, n: int, groups: int) -> np.ndarray:
+    """Upper bounds of the counts, folded to fewer groups."""
+    x = np.frombuffer(raw, np.uint8).astype(np.int64)
+    x[x == 255] = n
+    return x.reshape(-1, groups).sum(0)
+
+
+def join_components(sizes: np.ndarray, point_at, check, labels: np.ndarray | None = None, sides: np.ndarray | None = None) -> np.ndarray:
+    """Component numbers (the first member's) of sets of any sizes: one tree for each range of sizes.
+
+    point_at(i, groups): the count vector of set i. check(a, b): whether two sets link."""
+    k = len(sizes)
+    root = list(range(k))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def unite(at, heads):
+        for i, h in zip(at, heads, strict=True):
+            a, b = find(i), find(h)
+            root[max(a, b)] = min(a, b)
+
+    if labels is not None:
+        unite(range(k), label_heads(labels))
+    least = 0
+    for most, groups in GROUPS:
+        at = np.flatnonzero((sizes > least) & (sizes * LINK[0] <= most * LINK[1]))
+        least = most
+        if len(at) > 1:
+            tree = CountTree(np.stack([point_at(int(i), groups) for i in at]), sizes[at])
+            now = np.array([find(int(i)) for i in at])
+            found = tree.join(lambda a, b, at=at: check(int(at[a]), int(at[b])), now, None if sides is None else sides[at])
+            unite(at.tolist(), [int(at[h]) for h in label_heads(found)])
+    return np.array([find(i) for i in range(k)])
 
 
 def class_of(s: np.ndarray) -> int:
@@ -179,7 +229,7 @@ def profile(docs: DataFrame, text: str, key: str) -> DataFrame:
         for b in batches:
             sets = shingle_sets(b.column("text"))
             n = np.array([len(s) for s in sets], np.int64)
-            points = [point(s).astype("<u4").tobytes() for s in sets]
+            points = [pack_point(s) for s in sets]
             yield _batch(id=b.column("id"), cls=pa.array([class_of(s) for s in sets], pa.int64()), n=pa.array(n), point=pa.array(points, pa.binary()), block=pa.nulls(len(n), pa.int32()), cells=pa.nulls(len(n), pa.binary()))
             cells = np.bincount((np.concatenate([*sets, np.zeros(0, U64)]) >> U64(44)).astype(np.int64), minlength=CELLS)
             each = CELLS // SKETCH_BLOCKS
@@ -297,8 +347,7 @@ def possible_edges(members: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches):
         for _, (cls, n, points) in _streams(batches, ["block"]):
-            tree = CountTree(np.stack([np.frombuffer(p, "<u4") for p in points]), np.array(n))
-            label = tree.join(lambda a, b: True)
+            label = join_components(np.array(n), lambda i, g: unpack_point(points[i], n[i], g), lambda a, b: True)
             out = [(c, cls[x]) for c, x in zip(cls, label_heads(label), strict=True) if c != cls[x]]
             if out:
                 a, b = zip(*out, strict=True)
@@ -310,7 +359,7 @@ def possible_edges(members: DataFrame, classes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def label_heads(label: np.ndarray) -> list[int]:
+def label_heads(label) -> list[int]:
     """For each point the first point of its component."""
     first: dict[int, int] = {}
     return [first.setdefault(x, i) for i, x in enumerate(label.tolist())]
@@ -337,8 +386,7 @@ def exact_edges(rows: DataFrame, keys: list[str], tiles: bool = False) -> DataFr
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
                 return bool(links(len(x), len(y), int((y[at] == x).sum())))
 
-            tree = CountTree(np.stack([point(x) for x in s]), np.array([len(x) for x in s]))
-            label = tree.join(check, np.array([known[i] for i in order]), np.array([side[i] for i in order]) if tiles else None)
+            label = join_components(np.array([len(x) for x in s]), lambda i, g, s=s: point(s[i], g), check, np.array([known[i] for i in order]), np.array([side[i] for i in order]) if tiles else None)
             out = [(x, c[h]) for x, h in zip(c, label_heads(label), strict=True) if x != c[h]]
             if out:
                 a, b = zip(*out, strict=True)
