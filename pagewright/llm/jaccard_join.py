@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import U64, components, cut, gram_hashes, mix, parts, salted_lookup, words
+from .core import U64, components, cut, gram_hashes, mix, parts, salted_lookup, slices, words
 
 SHINGLE = 5
 LINK = (80, 100)
@@ -40,6 +40,7 @@ SKETCH_BLOCKS = 64
 LARGEST_BLOCK = 50_000
 CHUNK_SHINGLES = 2_000_000
 BLOOM_BITS = 1 << 26  # 8 MB
+PIECE = 4 << 20  # bytes of text that a worker hashes at a time
 
 
 def shingle_sets(col: pa.Array) -> list[np.ndarray]:
@@ -226,16 +227,18 @@ def profile(docs: DataFrame, text: str, key: str) -> DataFrame:
     """Rows (id, class, n, point) for every document, and rows (block, cells) of the sketch; the others are null."""
 
     def run(batches):
-        for b in batches:
+        cells = np.zeros(CELLS, np.int64)
+        for b in (x for whole in batches for x in slices(whole, "text", PIECE)):
             sets = shingle_sets(b.column("text"))
             n = np.array([len(s) for s in sets], np.int64)
             points = [pack_point(s) for s in sets]
             yield _batch(id=b.column("id"), cls=pa.array([class_of(s) for s in sets], pa.int64()), n=pa.array(n), point=pa.array(points, pa.binary()), block=pa.nulls(len(n), pa.int32()), cells=pa.nulls(len(n), pa.binary()))
-            cells = np.bincount((np.concatenate([*sets, np.zeros(0, U64)]) >> U64(44)).astype(np.int64), minlength=CELLS)
-            each = CELLS // SKETCH_BLOCKS
-            blocks = [cells[i * each : (i + 1) * each].astype("<u4").tobytes() for i in range(SKETCH_BLOCKS)]
-            none = pa.nulls(SKETCH_BLOCKS, pa.int64())
-            yield _batch(id=none, cls=none, n=none, point=pa.nulls(SKETCH_BLOCKS, pa.binary()), block=pa.array(range(SKETCH_BLOCKS), pa.int32()), cells=pa.array(blocks, pa.binary()))
+            for s in sets:
+                np.add.at(cells, (s >> U64(44)).astype(np.int64), 1)
+        each = CELLS // SKETCH_BLOCKS
+        blocks = [cells[i * each : (i + 1) * each].astype("<u4").tobytes() for i in range(SKETCH_BLOCKS)]
+        none = pa.nulls(SKETCH_BLOCKS, pa.int64())
+        yield _batch(id=none, cls=none, n=none, point=pa.nulls(SKETCH_BLOCKS, pa.binary()), block=pa.array(range(SKETCH_BLOCKS), pa.int32()), cells=pa.array(blocks, pa.binary()))
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     return cut(rows.mapInArrow(run, "id long, cls long, n long, point binary, block int, cells binary"), "profile")
@@ -277,7 +280,7 @@ def blocks(docs: DataFrame, text: str, levels: np.ndarray, buckets: int) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # CELLS bytes
 
     def emit(batches):
-        for b in batches:
+        for b in (x for whole in batches for x in slices(whole, "text", PIECE)):
             seen, keys, owner = set(), [], []
             for s in shingle_sets(b.column("text")):
                 c = class_of(s)
@@ -410,9 +413,9 @@ def sets_of(docs: DataFrame, text: str, key: str, wanted: DataFrame) -> DataFram
         for b in batches:
             p = b.column("p").to_numpy(zero_copy_only=False)
             at = np.flatnonzero((shared.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1)
-            if len(at):
-                sets = shingle_sets(b.column("text").take(pa.array(at)))
-                yield _batch(id=b.column("id").take(pa.array(at)), cls=pa.array([class_of(s) for s in sets], pa.int64()), members=pa.array([s.tobytes() for s in sets], pa.binary()))
+            for part in slices(b.take(pa.array(at)), "text", PIECE) if len(at) else ():
+                sets = shingle_sets(part.column("text"))
+                yield _batch(id=part.column("id"), cls=pa.array([class_of(s) for s in sets], pa.int64()), members=pa.array([s.tobytes() for s in sets], pa.binary()))
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).withColumn("p", spot)
     return wanted.join(rows.mapInArrow(run, "id long, cls long, members binary"), ["id", "cls"])
