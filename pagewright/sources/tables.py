@@ -40,8 +40,8 @@ QUADS = """
     FROM (SELECT *, CAST(id % 7 - 3 AS DOUBLE) AS s, CAST(id % 5 - 2 AS DOUBLE) AS t FROM (""" + BOXES + """) AS boxes) AS leaning"""
 #: One page for each conversation, one text region for each turn; what a translator said about it.
 TURNS = """
-    SELECT conv_id AS page, turn + 1 AS i, text AS source,
-           CASE WHEN conv_id % 10 = 0 THEN text WHEN turn % 5 = 1 THEN '   ' WHEN turn % 5 = 2 THEN '12345'
+    SELECT conv_id AS page, turn + 1 AS i, CASE WHEN conv_id % 10 = 0 THEN replace(text, chr(10), ' ') ELSE text END AS source,
+           CASE WHEN conv_id % 10 = 0 THEN replace(text, chr(10), ' ') WHEN turn % 5 = 1 THEN '   ' WHEN turn % 5 = 2 THEN '12345'
                 WHEN turn % 5 = 3 THEN replace(replace(text, 'a', 'A'), 'e', 'E') WHEN turn % 5 = 4 THEN 'SFX bang' ELSE concat('T: ', text) END AS target
     FROM {conversations}"""
 #: The raw reply, line by line: ids dropped, doubled, written loosely.
