@@ -86,14 +86,14 @@ def train(labelled: DataFrame, codes: str, accepted: str) -> DataFrame:
 
 
 def literal(numbers: list[float] | None) -> Column:
-    """The array as one constant: Catalyst folds the parsing away."""
-    return F.from_json(F.lit("[" + ",".join(f"{x:.4f}" for x in numbers or []) + "]"), "array<float>")
+    """The array in hundredths as one constant: Catalyst folds the parsing away."""
+    return F.from_json(F.lit("[" + ",".join(str(round(100 * x)) for x in numbers or []) + "]"), "array<int>")
 
 
 def score(codes: Column, ratio: Column) -> Column:
     """Mean log ratio of a symbol array; 0 for an empty one."""
     g = grams(codes)
-    return F.when(F.size(g) > 0, F.aggregate(g, F.lit(0.0), lambda a, i: a + F.element_at(ratio, i + 1)) / F.size(g)).otherwise(F.lit(0.0))
+    return F.when(F.size(g) > 0, F.aggregate(g, F.lit(0).cast("bigint"), lambda a, i: a + F.element_at(ratio, i + 1)) / (100.0 * F.size(g))).otherwise(F.lit(0.0))
 
 
 def threshold(scored: DataFrame, value: str, accepted: str) -> DataFrame:
