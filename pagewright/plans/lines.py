@@ -66,14 +66,19 @@ def _text(s, d):
 
 
 def _merge(s, d):
-    """Upright boxes that may merge: near for their size, sizes alike, edges or centres in line."""
+    """Upright boxes that may merge, as grouping.may_merge has it: near for their size, sizes and shapes alike, centres or edges in line."""
     a, b = G.columns("a_"), G.columns("b_")
     wa, ha, wb, hb = a["x2"] - a["x1"], a["y2"] - a["y1"], b["x2"] - b["x1"], b["y2"] - b["y1"]
     fa, fb = F.least(wa, ha), F.least(wb, hb)
     c = F.least(fa, fb)
     centre = F.abs(a["x1"] + a["x2"] - b["x1"] - b["x2"]) < 6
-    aligned = (F.abs(a["x1"] - b["x1"]) < 3 * c) | (F.abs(a["x2"] - b["x2"]) < 3 * c)
-    return _pairs(s, d).where((G.box_gap(a, b) < c) & (F.greatest(fa, fb) <= 2 * c) & (centre | aligned)).select("page", "a_id", "b_id")
+    aspect = lambda w, h: F.when(h > 0, w / h).otherwise(1.0)
+    ra, rb = aspect(wa, ha), aspect(wb, hb)
+    unlike = ((ra > 1.3) & (rb < 1 / 1.3)) | ((rb > 1.3) & (ra < 1 / 1.3))
+    wide_a, wide_b, tall_a, tall_b = wa > ha * 1.9, wb > hb * 1.9, ha > wa * 1.9, hb > wb * 1.9
+    near = lambda *edges: (F.abs(a[edges[0]] - b[edges[0]]) < 3 * c) | (F.abs(a[edges[1]] - b[edges[1]]) < 3 * c)
+    aligned = F.when((wide_a & tall_b) | (wide_b & tall_a), False).when(wide_a | wide_b, near("x1", "x2")).when(tall_a | tall_b, near("y1", "y2")).otherwise(False)
+    return _pairs(s, d).where((G.box_gap(a, b) < c) & (F.greatest(fa, fb) <= 2 * c) & ~unlike & (centre | aligned)).select("page", "a_id", "b_id")
 
 
 _PAIRS = f"(SELECT a.page, a.id AS a_id, b.id AS b_id, a AS a, b AS b FROM {B} a JOIN {B} b ON a.page = b.page AND a.id < b.id)"

@@ -21,3 +21,28 @@ def test_graph_mask_uses_every_edge(spark, tmp_path):
     assert masked & unsafe and masked - unsafe
     assert masked & unsafe - {p for o, p, q in edges if q % 5 in (0, 4) and o % 20 == 0}
     assert {r[0] for r in rows(spark, "graph_mask_check", str(tmp_path))} == masked - unsafe
+
+
+def boxes(spark, view):
+    from pagewright.sources.tables import BOXES, QUADS, bind
+
+    pages = {}
+    for r in bind(spark, DATA, {"boxes": BOXES, "quads": QUADS}[view]).collect():
+        pages.setdefault(r["page"], []).append(r)
+    return {p: sorted(rs, key=lambda r: r["id"]) for p, rs in pages.items()}
+
+
+def test_merge_edges_follow_the_whole_rule(spark):
+    quad = lambda r: [(r["x1"], r["y1"]), (r["x2"], r["y1"]), (r["x2"], r["y2"]), (r["x1"], r["y2"])]
+    edges, regions, around = set(), set(), set()
+    for page, rs in boxes(spark, "boxes").items():
+        lines = [G.Line(quad(r)) for r in rs]
+        own = [(i, j) for j in range(len(rs)) for i in range(j) if rs[i]["id"] < rs[j]["id"] and G.may_merge(lines[i], lines[j])]
+        edges |= {(page, rs[i]["id"], rs[j]["id"]) for i, j in own}
+        same = [(i, i + 1) for i in range(len(rs) - 1) if rs[i]["id"] == rs[i + 1]["id"]]  # a line item may occur twice
+        for c in G.components(len(rs), own + same):
+            regions |= {(page, rs[m]["id"], rs[c[0]]["id"]) for m in c}
+            around.add((page, rs[c[0]]["id"], *[f(rs[m][k] for m in c) for f, k in ((min, "x1"), (min, "y1"), (max, "x2"), (max, "y2"))], len(c)))
+    assert edges and set(rows(spark, "merge_edges_aabb")) == edges
+    assert set(rows(spark, "edge_components")) == regions
+    assert set(rows(spark, "region_aabb")) == around
