@@ -49,10 +49,13 @@ def _colour(s, d):
 
 
 def _in_boxes(s, d):
-    """Masked pixels inside any padded box of their page: the boxes of a page are one array, so no range join."""
-    boxes = bind(s, d, BOXES).where("id % 4 = 0").groupBy((F.col("page") % 500).alias("img")).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("bs"))
+    """Masked pixels inside any padded box of their page: the distinct ranges of pixels that the boxes of a page cover are one array, so no
+    range join. Boxes have whole coordinates, so the ranges are exact, and a page of any number of boxes has few of them."""
+    ranges = [F.ceil((F.col(a) - 2) / 12).alias(a) for a in ("x1", "y1")] + [F.floor((F.col(b) + 2) / 12).alias(b) for b in ("x2", "y2")]
+    covered = bind(s, d, BOXES).select((F.col("page") % 500).alias("img"), *ranges).distinct()
+    boxes = covered.groupBy("img").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("bs"))
     m = _mask(s, d).where("m").join(boxes, "img")
-    hit = F.exists("bs", lambda r: (F.col("x") * 12 >= r["x1"] - 2) & (F.col("x") * 12 <= r["x2"] + 2) & (F.col("y") * 12 >= r["y1"] - 2) & (F.col("y") * 12 <= r["y2"] + 2))
+    hit = F.exists("bs", lambda r: F.col("x").between(r["x1"], r["x2"]) & F.col("y").between(r["y1"], r["y2"]))
     return m.where(hit).select("img", "y", "x")
 
 

@@ -46,3 +46,13 @@ def test_merge_edges_follow_the_whole_rule(spark):
     assert edges and set(rows(spark, "merge_edges_aabb")) == edges
     assert set(rows(spark, "edge_components")) == regions
     assert set(rows(spark, "region_aabb")) == around
+
+
+def test_mask_in_boxes_uses_every_box(spark):
+    pages = {}
+    for p, rs in boxes(spark, "boxes").items():
+        pages.setdefault(p % 500, []).extend(rs)
+    inside = lambda r, y, x: r["x1"] - 2 <= x * 12 <= r["x2"] + 2 and r["y1"] - 2 <= y * 12 <= r["y2"] + 2
+    want = {(p["img"], p["y"], p["x"]) for p in pixels(spark, DATA).where("g % 5 = 0").collect() if any(inside(r, p["y"], p["x"]) for r in pages.get(p["img"], []))}
+    got = rows(spark, "mask_in_boxes")
+    assert want and len(got) == len(want) and set(got) == want
