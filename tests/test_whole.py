@@ -56,3 +56,10 @@ def test_mask_in_boxes_uses_every_box(spark):
     want = {(p["img"], p["y"], p["x"]) for p in pixels(spark, DATA).where("g % 5 = 0").collect() if any(inside(r, p["y"], p["x"]) for r in pages.get(p["img"], []))}
     got = rows(spark, "mask_in_boxes")
     assert want and len(got) == len(want) and set(got) == want
+
+
+def test_poly_distance_of_every_pair(spark):
+    quads = {p: [(r["id"], [(r[f"{c}x"], r[f"{c}y"]) for c in "abcd"]) for r in rs] for p, rs in boxes(spark, "quads").items()}
+    want = {(p, i, j): G.polygon_distance(a, b) for p, rs in quads.items() for k, (j, b) in enumerate(rs) for i, a in rs[:k] if i < j}
+    got = {r[:3]: r[3] for r in rows(spark, "poly_distance")}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
