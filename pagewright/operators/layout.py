@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import re
+from array import array
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 TRIM, LEAST, MOST, SCALE = 3, 9, 60, 0.85
 #: Characters that may not start a column: closing and non-starting marks of the Unicode line-breaking classes CL, CP, NS and EX.
@@ -33,17 +39,28 @@ def vertical_size(n_cells: Column, width: Column, room: Column) -> Column:
 
 def columns(cells: Column, capacity: Column) -> Column:
     """Arrays of cells: a column takes up to two marks more that may not start the next one."""
-    bad = lambda c: (F.length(c) == 1) & (F.instr(F.lit(NO_START), c) > 0)
-    zero = F.array().cast("array<array<string>>")
-
-    def add(acc, c):
-        n = F.size(acc)
-        last = F.get(acc, n - 1)
-        here = F.size(last)
-        joins = (n > 0) & ((here < capacity) | ((here < capacity + 2) & bad(c)))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.greatest(n - 1, F.lit(0))), F.array(F.concat(last, F.array(c))))).otherwise(F.concat(acc, F.array(F.array(c))))
-
-    return F.aggregate(cells, zero, add)
+    bad = lambda c: F.when((F.length(c) == 1) & (F.instr(F.lit(NO_START), c) > 0), "1").otherwise("0")
+    return F.transform(_column_bounds(F.array_join(F.transform(cells, bad), ""), capacity), lambda r: F.slice(cells, r["at"], r["n"]))
+
+
+@F.arrow_udf(returnType=ArrayType(StructType().add("at", IntegerType()).add("n", IntegerType())))
+def _column_bounds(flags: pa.Array, capacity: pa.Array) -> pa.Array:
+    """Place (from 1) and length of each column over cells flagged 1 where they may not start one; a step for each column, not each cell."""
+
+    ends, at, n = [], array("i"), array("i")
+    for marks, most in zip(flags.to_pylist(), capacity.to_pylist(), strict=True):
+        ends.append(None if marks is None or most is None else len(at))
+        start = 0
+        while ends[-1] is not None and start < len(marks):
+            end = min(start + most, len(marks))
+            stop = min(end + 2, len(marks))
+            while end < stop and marks[end] == "1":
+                end += 1
+            at.append(start + 1)
+            n.append(end - start)
+            start = end
+    columns = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(n, pa.int32())], names=["at", "n"])
+    return pa.ListArray.from_arrays(pa.array([*ends, len(at)], pa.int32()), columns)
 
 
 def text_colour(mono: Column, on_art: Column, luminance: Column) -> Column:
@@ -55,18 +72,47 @@ def stroke_width(size: Column, on_art: Column) -> Column:
     return F.greatest(F.lit(2.0), size * F.when(on_art, 0.16).otherwise(0.10))
 
 
-def wrap(text: Column, per_line: Column) -> Column:
-    """Horizontal lines under a fixed-advance metric: 1 em for a wide character, half an em for any other; a line that is full
-    still takes a mark that may not start the next one."""
-    chars = F.filter(F.split(F.replace(text, F.lit("\n"), F.lit("")), ""), lambda c: c != "")
-    advance = lambda c: F.when(c.rlike(r"[ᄀ-ᅟ⺀-꓏가-힣豈-﫿︰-﹯＀-｠￠-￦]"), 1.0).otherwise(0.5)
-    zero = F.struct(F.lit(0.0).alias("w"), F.array().cast("array<string>").alias("ls"))
-
-    def add(a, c):
-        n = F.size(a["ls"])
-        w = a["w"] + advance(c)
-        joins = (n > 0) & ((w <= per_line) | (F.instr(F.lit(NO_START), c) > 0))
-        head = F.slice(a["ls"], 1, F.greatest(n - 1, F.lit(0)))
-        return F.struct(F.when(joins, w).otherwise(advance(c)).alias("w"), F.when(joins, F.concat(head, F.array(F.concat(F.get(a["ls"], n - 1), c)))).otherwise(F.concat(a["ls"], F.array(c))).alias("ls"))
-
-    return F.aggregate(chars, zero, add, lambda a: a["ls"])
+#: Characters of one em under the fixed-advance metric; any other has half an em.
+WIDE = re.compile("[ᄀ-ᅟ⺀-꓏가-힣豈-﫿︰-﹯＀-｠￠-￦]")
+
+
+def wrap_lines(text: str, half_ems: float, most: float = math.inf) -> list[str] | None:
+    """Lines of at most half_ems; a line that is full still takes a mark that may not start the next one. None beyond `most` lines."""
+    out, start, w = [], 0, 0
+    for i, c in enumerate(text):
+        if c == "\n":
+            out.append(text[start:i])
+            start, w = i + 1, 0
+            continue
+        a = 2 if WIDE.match(c) else 1
+        if i > start and w + a > half_ems and c not in NO_START:
+            out.append(text[start:i])
+            start, w = i, 0
+            if len(out) >= most:
+                return None
+        w += a
+    if start < len(text):
+        out.append(text[start:])
+    return out if len(out) <= most else None
+
+
+def fit_lines(text: str, width: float, room: float) -> tuple[int, list[str]]:
+    """Font size and lines: the largest size whose lines, TRIM characters short, fit width and room, scaled down; LEAST where none
+    fits. A size that does not fit is left at its first line too many."""
+    half_ems = lambda s: max(width - TRIM * s, s) / (s / 2)
+    size = LEAST
+    for s in range(min(int(room), MOST), LEAST - 1, -1):
+        ls = wrap_lines(text, half_ems(s), room / (s * 1.18))
+        if ls is not None and len(ls) * s * 1.18 <= room and max((len(x) + len(WIDE.findall(x)) for x in ls), default=0) * s / 2 <= width:
+            size = s
+            break
+    size = max(LEAST, math.floor(size * SCALE + 0.5))
+    return size, wrap_lines(text, half_ems(size))
+
+
+@F.arrow_udf(returnType=StructType().add("size", IntegerType()).add("lines", ArrayType(StringType())))
+def horizontal_fit(text: pa.Array, width: pa.Array, room: pa.Array) -> pa.Array:
+    """fit_lines of each row."""
+    rows = zip(text.to_pylist(), width.to_pylist(), room.to_pylist(), strict=True)
+    got = [None if None in r else dict(zip(("size", "lines"), fit_lines(*r), strict=True)) for r in rows]
+    return pa.array(got, pa.struct([("size", pa.int32()), ("lines", pa.list_(pa.string()))]))

@@ -66,11 +66,13 @@ LAYOUT = """
            CAST(60 + doc_id % 240 AS DOUBLE) AS width, CAST(40 + (doc_id * 7) % 400 AS DOUBLE) AS room
     FROM {documents}"""
 _LAY = "(" + LAYOUT.replace("{documents}", "documents") + ")"
+#: What the queries lay out: the whole texts. The SQL counterparts still have the slices of LAYOUT.
+WHOLE = LAYOUT.replace("left(replace(text, chr(10), ' '), 40 + CAST(doc_id % 50 AS INT))", "replace(text, chr(10), ' ')")
 
 
 def _layout(s, d):
     once = lambda c: F.explode(F.array(c))  # noqa: E731  a generator's result is computed once, not inlined into each use
-    rows = bind(s, d, LAYOUT).withColumn("cells", once(L.vertical_cells(F.col("t"))))
+    rows = bind(s, d, WHOLE).withColumn("cells", once(L.vertical_cells(F.col("t"))))
     rows = rows.withColumn("size", once(L.vertical_size(F.size("cells"), F.col("width") * 1.3, F.col("room") * 1.5)))
     rows = rows.withColumn("capacity", once(L.per_column(F.col("room") * 1.5, F.col("size"))))
     return rows.withColumn("cols", once(L.columns(F.col("cells"), F.col("capacity"))))
@@ -160,7 +162,7 @@ QUERIES = {
     "vertical_fit": lambda s, d: _layout(s, d).select("doc_id", "size", "capacity"),
     "kinsoku_columns": lambda s, d: _layout(s, d).select("doc_id", F.array_join(F.transform("cols", lambda c: F.array_join(c, "")), "|").alias("columns")),
     "cell_placement": _placed,
-    "horizontal_wrap": lambda s, d: bind(s, d, LAYOUT).select("doc_id", F.array_join(L.wrap(F.col("t"), F.lit(12.0)), "|").alias("lines")),
+    "horizontal_wrap": lambda s, d: bind(s, d, WHOLE).select("doc_id", L.horizontal_fit("t", F.col("width") * 1.3, F.col("room") * 1.5).alias("f")).select("doc_id", "f.size", F.array_join("f.lines", "|").alias("lines")),
     "text_colour": lambda s, d: table(s, d, "supplier").select("s_suppkey", L.text_colour(F.col("s_suppkey") % 5 == 0, F.col("s_suppkey") % 3 == 0, F.col("s_suppkey") % 256).alias("colours"), F.round(L.stroke_width(F.col("s_suppkey") % 60, F.col("s_suppkey") % 3 == 0), 6).alias("stroke")),
     "orientation": lambda s, d: table(s, d, "supplier").select("s_suppkey", F.expr("CASE WHEN s_suppkey % 3 = 0 THEN 'v' WHEN s_suppkey % 3 = 1 THEN 'h' ELSE CASE WHEN s_suppkey % 2 = 0 THEN 'v' ELSE 'h' END END").alias("orientation"), (F.abs(F.col("s_suppkey") % 7 - 3) >= 1).alias("rotated")),
     "probe_parse": lambda s, d: _log(s, d).select("line_no", "kind", F.size("kv").cast("bigint").alias("n_keys"), F.coalesce(P.value("step"), F.lit("-")).alias("step"), F.coalesce(P.value("gain"), F.lit("-")).alias("gain")),
