@@ -2,10 +2,11 @@
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers, each kind found from left to right.
 
-Information-theoretic sanitisation looks at the words around each protected entity (a base span's text). Over the whole
-corpus, a term t discloses an entity e by PMI(t, e) = log2(p(t, e) / (p(t) p(e))) bits of the IC(e) = -log2 p(e) bits
-that e carries, with probabilities over documents. Terms that disclose at least GENERALISE of them, seen next to e in at
-least SUPPORT different surroundings, become spans of kind `term`: replaced by a general word, or removed from REMOVE on.
+Information-theoretic sanitisation looks at the words of each document with a protected entity (a base span's text), outside of
+base spans. Over the whole corpus, a term t discloses an entity e by PMI(t, e) = log2(p(t, e) / (p(t) p(e))) bits of the
+IC(e) = -log2 p(e) bits that e carries, with probabilities over documents. A term that discloses at least GENERALISE of them and
+shares at least SUPPORT different texts with e (exact copies count as one) becomes spans of kind `term` wherever it occurs, in
+any text: replaced by a general word, or removed from REMOVE on.
 
 Patterns run in Java's regex engine on whole texts. Possessive quantifiers and the look-behinds keep them linear and free of
 recursion on any text; they match what the plain patterns match (the comments say why). Positions come from the pieces
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import cut, drop_existing, salted_lookup
+from .core import cut, drop_existing, fresh, salted_lookup
 
 KINDS = ["email", "ip", "card", "phone"]
 #: A run of local-part characters must reach the @, so only its first character (or the end of the last match) can start one.
@@ -28,10 +29,11 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-REACH = 8  # words looked at on either side of an entity
 SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
 TERM = r"[\p{L}\p{N}]+"
+EDGE = "\ufdd0"  # a noncharacter: stands beside a piece of a word that a base span has cut
+WHOLE = rf"(?<![\p{{L}}\p{{N}}{EDGE}])[\p{{L}}\p{{N}}]++(?!{EDGE})"
 SPAN = "array<struct<start: int, stop: int, value: string>>"
 
 
@@ -100,58 +102,84 @@ def find_base(docs: DataFrame, text: str = "text") -> DataFrame:
     return drop_existing(docs, ["base"]).withColumn("base", F.array_sort(F.concat(*[tag(spans[k], k, i) for i, k in enumerate(KINDS)])))
 
 
-def surroundings(found: DataFrame, text: str, key: str) -> DataFrame:
-    """(doc, entity, term, start, stop, around): the words within REACH of each base span, outside of all base spans."""
-    rows = found.where(F.size("base") > 0).select(F.col(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("t"), "base")
-    each = rows.select("doc", "t", "base", F.explode("base").alias("b"))
-    width = REACH * 12
-    left = F.greatest(F.lit(0), F.col("b.start") - width)
-    piece = each.select("doc", "base", F.concat_ws(":", "b.kind", F.lower("b.value")).alias("entity"), left.alias("l"), F.substring("t", left + 1, F.col("b.start") - left).alias("before"), F.col("b.stop").alias("r"), F.substring("t", F.col("b.stop") + 1, F.lit(width)).alias("after"))
-    near = lambda c, at, keep: F.transform(keep(matches(c, TERM)), lambda s: F.struct(F.lower(s["value"]).alias("term"), (s["start"] + at).alias("start"), (s["stop"] + at).alias("stop")))
-    whole_before = lambda a: F.filter(a, lambda s: (s["start"] > 0) | (F.col("l") == 0))  # noqa: E731  not cut off at the edge
-    whole_after = lambda a: F.filter(a, lambda s: s["stop"] < width)
-    last = lambda a: F.when(F.size(a) > REACH, F.slice(a, -REACH, REACH)).otherwise(a)
-    terms = F.concat(near(F.col("before"), F.col("l"), lambda a: last(whole_before(a))), near(F.col("after"), F.col("r"), lambda a: F.slice(whole_after(a), 1, REACH)))
-    outside = F.filter(terms, lambda w: ~F.exists("base", lambda b: (w["start"] < b["stop"]) & (b["start"] < w["stop"])))
-    out = piece.select("doc", "entity", outside.alias("terms")).withColumn("around", F.xxhash64(F.transform("terms", lambda w: w["term"])))
-    return out.select("doc", "entity", "around", F.explode("terms").alias("w")).select("doc", "entity", "around", "w.term", "w.start", "w.stop")
-
-
-def disclosing_terms(docs: DataFrame, near: DataFrame, text: str, key: str) -> DataFrame:
-    """(entity, term, disclosed): terms that carry at least GENERALISE of an entity's information, from whole-corpus counts."""
-    total = docs.count()
-    pairs = near.groupBy("entity", "term", "around").agg(F.lit(1).alias("x")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("ways")).where(F.col("ways") >= SUPPORT)
-    both = near.groupBy("entity", "term", "doc").agg(F.lit(1).alias("x")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    entities = near.groupBy("entity", "doc").agg(F.lit(1).alias("x")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TERM), 0))).alias("term"))
-    frequency = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    rows = cut(pairs.select("entity", "term"), "pairs")
-    if rows.isEmpty():
-        return rows.withColumn("disclosed", F.lit(0.0))
-    wanted = rows.select("term").distinct()
-    rows = rows.join(both, ["entity", "term"]).join(entities, "entity").join(frequency.join(wanted, "term"), "term")  # after counting: no row for each occurrence
+def outside(t: Column, base: Column) -> Column:
+    """The text with base spans blanked; pieces of words that a span cuts are marked, so that WHOLE finds the words outside of all spans."""
+    word = lambda at: F.substring(t, at, F.lit(1)).rlike(r"^[\p{L}\p{N}]")
+    mark = lambda cond: F.when(cond, EDGE).otherwise(" ")
+    piece = lambda at, to: F.concat(mark((at > 0) & word(at)), F.replace(F.substring(t, at + 1, to - at), F.lit(EDGE), F.lit(" ")))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda a, s: F.struct(F.greatest(a["at"], s["stop"]).alias("at"), F.when(s["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], piece(a["at"], s["start"]), mark(word(s["start"] + 1)))).alias("out"))
+    return F.aggregate(base, zero, step, lambda a: F.concat(a["out"], piece(a["at"], F.length(t))))
+
+
+def vocabulary(found: DataFrame, text: str) -> DataFrame:
+    """(class, entities, words, own) of each row: a hash of its text, its distinct entities and words, and its words outside of base
+    spans, where it has any spans."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    distinct = lambda c, pattern: F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), 0)), lambda w: F.lower(w)))
+    entities = F.array_distinct(F.transform("base", lambda b: F.concat_ws(":", b["kind"], F.lower(b["value"]))))
+    own = F.when(F.size("base") > 0, distinct(outside(t, F.col("base")), WHOLE))
+    return found.select(F.xxhash64(t).alias("class"), entities.alias("entities"), distinct(t, TERM).alias("words"), own.alias("own"))
+
+
+def disclosing_terms(rows: DataFrame) -> DataFrame:
+    """(term, disclosed): terms that carry at least GENERALISE of some entity's information, from whole-corpus counts over the rows of
+    vocabulary(). Entities and terms in fewer than SUPPORT rows cannot have the support and are left out before they are paired."""
+    total = rows.count()
+    held = rows.where(F.size("entities") > 0)
+    entities = cut(held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= SUPPORT), "entities")
+    frequency = rows.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where(F.col("n_term") >= SUPPORT)
+    texts = held.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.first("entities").alias("entities"), F.first("own").alias("own"))  # equal texts, equal arrays
+    each = texts.select("n", "own", F.explode("entities").alias("entity"))
+    pairs = salted_lookup(each, entities, ["entity"], F.xxhash64("own"), how="inner").select("n", "entity", "n_entity", F.explode("own").alias("term"))
+    both = pairs.groupBy("entity", "n_entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("ways")).where(F.col("ways") >= SUPPORT)
+    counted = cut(both, "pairs")
+    if counted.isEmpty():
+        return counted.select("term", F.lit(0.0).alias("disclosed"))
+    wanted = counted.select("term").distinct()
+    scored = counted.join(frequency.join(wanted, "term"), "term")
     information = F.log2(F.lit(float(total)) / F.col("n_entity"))
     pmi = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_term") * F.col("n_entity")))
-    rows = rows.select("entity", "term", F.when(information > 0, pmi / information).otherwise(F.lit(0.0)).alias("disclosed"))
-    return cut(rows.where(F.col("disclosed") >= GENERALISE), "disclosing")
+    scored = scored.select("term", F.when(information > 0, pmi / information).otherwise(F.lit(0.0)).alias("disclosed"))
+    return cut(scored.where(F.col("disclosed") >= GENERALISE).groupBy("term").agg(F.max("disclosed").alias("disclosed")), "disclosing")
+
+
+def term_spans(t: Column, base: Column, marks: Column) -> Column:
+    """Spans of every word that marks (term -> general or remove) names, outside of base spans."""
+    gaps = F.transform(F.split(t, TERM, -1), lambda x: F.length(x))
+    found = F.regexp_extract_all(t, F.lit(TERM), 0)
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: F.struct(g.alias("gap"), v.alias("v")))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(BASE).alias("out"))
+
+    def step(a, x):
+        start = a["at"] + x["gap"]
+        stop = start + F.length(x["v"])
+        value = F.try_element_at(marks, F.lower(x["v"]))
+        free = ~F.exists(base, lambda b: (start < b["stop"]) & (b["start"] < stop))
+        span = F.struct(start.alias("start"), F.lit(len(KINDS)).alias("ord"), F.lit("term").alias("kind"), stop.alias("stop"), value.alias("value"))
+        return F.struct(stop.alias("at"), F.when(value.isNotNull() & free, F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
+
+    return F.aggregate(pairs, zero, step, lambda a: a["out"])
 
 
 def find_pii(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with base and spans: base spans and, in spans, disclosing terms too, as (start, ord, kind, stop, value).
 
-    The value of a term span is `general` or `remove`. A null or empty text has no spans; every repeated row gets its own
-    base spans, and the term spans of all rows with its key; a row with a null key gets base spans only. Columns with added names are
-    replaced; an empty table gives an empty result.
+    The value of a term span is `general` or `remove`. A null or empty text has no spans; every row, whatever its key, gets the
+    spans of its own text, and counts as a document. Columns with added names are replaced; an empty table gives an empty result.
     """
     docs = drop_existing(docs, ["base", "spans"])
     found = find_base(docs, text)
-    near = cut(surroundings(found.where(F.col(key).isNotNull()), text, key), "near")
-    terms = disclosing_terms(docs, near, text, key)
-    hits = salted_lookup(near, terms, ["entity", "term"], F.col("doc"), how="inner")
-    span = F.struct("start", F.lit(len(KINDS)).alias("ord"), F.lit("term").alias("kind"), "stop", F.when(F.col("disclosed") >= REMOVE, "remove").otherwise("general").alias("value"))
-    more = hits.select("doc", span.alias("s")).groupBy("doc").agg(F.array_distinct(F.collect_list("s")).alias("more_spans"))
-    out = found.join(more.withColumnRenamed("doc", key), key, "left")
-    return out.select(*[F.col(f"`{c}`") for c in found.columns], F.array_sort(F.concat("base", F.coalesce("more_spans", F.array().cast(BASE)))).alias("spans"))
+    rows = cut(vocabulary(found, text), "vocabulary")
+    terms = disclosing_terms(rows)
+    mark = F.struct("term", F.when(F.col("disclosed") >= REMOVE, "remove").otherwise("general").alias("value"))
+    hits = rows.select("class", F.explode("words").alias("term")).join(terms, "term").select("class", mark.alias("m"))
+    name, marks = fresh(found, "class", "marks")
+    more = cut(hits.groupBy("class").agg(F.map_from_entries(F.collect_set("m")).alias(marks)).withColumnRenamed("class", name), "marks")
+    t = F.coalesce(F.col(text), F.lit(""))
+    out = salted_lookup(found.withColumn(name, F.xxhash64(t)), more, [name], F.xxhash64(F.col(key)))
+    every = F.when(F.col(marks).isNotNull(), F.array_sort(F.concat("base", term_spans(t, F.col("base"), F.col(marks))))).otherwise(F.col("base"))
+    return out.select(*[F.col(f"`{c}`") for c in found.columns], every.alias("spans"))
 
 
 BASE = "array<struct<start: int, ord: int, kind: string, stop: int, value: string>>"
