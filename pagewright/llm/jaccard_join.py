@@ -478,9 +478,10 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
 
 def stage_jaccard(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest doc_id."""
+    """Pipeline stage: of each component the document with the smallest doc_id; every document with a null doc_id, which is linked with nothing."""
     first = jaccard_join(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(first.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    kept = docs.join(first.distinct(), "doc_id", "left_semi").select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 from compare import DATA
 from pyspark.sql import functions as F
 
-from pagewright.llm import pii
+from pagewright.llm import jaccard_join, pii
 from pagewright.operators import grouping as G
 from pagewright.operators import layout as L
 from pagewright.plans import catalog
@@ -137,3 +137,9 @@ def test_words_outside_of_base_spans(spark):
     df = pii.find_base(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     got = [set(r["own"] or []) for r in pii.vocabulary(df, "text").select("own").collect()]
     assert got == [{"ef"}, {"to", "x", "z"}, set()] and df.where(F.size("base") > 0).count() == 2
+
+
+def test_stage_keeps_null_keys(spark):
+    text = "the quick brown fox jumps over the lazy dog again and again today"
+    docs = spark.createDataFrame([(1, text), (2, text), (None, text), (None, text)], "doc_id long, text string")
+    assert sorted(str(r["doc_id"]) for r in jaccard_join.stage_jaccard(spark, docs, DATA).collect()) == ["1", "None", "None"]
