@@ -25,33 +25,38 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import cut, map_batches, slices
+from .core import buffers, cut, discard, in_arrow, map_batches, slices
 
 LEXICON_WORDS = 50_000
 LONGEST_WORD = 48  # bytes; longer words are merged, not looked up
-CACHE_WORDS = 200_000  # merged words that a worker remembers
+BATCH = 2 << 20  # bytes of text that a worker encodes at a time; it keeps nothing between batches but the lexicon
 SUFFIX = "</w>"
 
-#: The tokenizer's white space, and its word pattern (contractions, letters, one number, anything else).
-SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+#: The tokenizer's white space beyond ASCII, and the letters and numbers that Unicode 16 has and Python's tables lack.
+BLANK = "\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+NEW_LETTERS = "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B-1138B 1138E-1138E 11390-113B5 113B7-113B7 113D1-113D1 113D3-113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF-18CFF 1E5D0-1E5ED 1E5F0-1E5F0"
+NEW_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
 
 
-def char_class(kind: str) -> str:
-    """Ranges of the code points whose general category starts with kind, for use between brackets."""
+def char_class(kind: str, new: str) -> str:
+    """Ranges of the code points whose general category starts with kind, and of the new ones, for use between brackets."""
     code = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == kind]
     cuts = [0, *[i for i in range(1, len(code)) if code[i] != code[i - 1] + 1], len(code)]
-    return "".join(f"\\U{code[a]:08x}-\\U{code[b - 1]:08x}" for a, b in zip(cuts, cuts[1:]))
+    ranges = [(code[a], code[b - 1]) for a, b in zip(cuts, cuts[1:])] + [tuple(int(x, 16) for x in r.split("-")) for r in new.split()]
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
 
 
-_L, _N = char_class("L"), char_class("N")
-WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{SPACES}{_L}{_N}]+")
-SPLIT = re.compile(f"[{SPACES}]+")
-#: What str.split() takes for white space and the tokenizer does not.
-ODD = re.compile("[\x1c-\x1f]")
+_L, _N = char_class("L", NEW_LETTERS), char_class("N", NEW_NUMBERS)
+#: Contractions, letters, one number, anything else but white space.
+WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\t-\r {BLANK}{_L}{_N}]+")
+BLANKS = re.compile(f"[{BLANK}]")
+#: Beyond Latin and common punctuation, Unicode versions may differ in case and order of marks.
+RARE = re.compile("[^\u0000-\u02ff\u2010-\u2027\u20ac]")
 
 
 _NONE = np.int64(2**62)
@@ -68,16 +73,42 @@ def byte_symbols() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+@functools.lru_cache(1)
+def _library_rules():
+    from tokenizers import normalizers
+
+    return normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+
+
 def normalise(text: str) -> str:
-    """NFC and lower case, one character at a time (no final sigma)."""
+    """NFC and lower case; texts with rare characters by the library's own tables. White space becomes ASCII white space."""
     if text.isascii():
         return text.lower()
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+    text = _library_rules().normalize_str(text) if RARE.search(text) else unicodedata.normalize("NFC", text).lower()
+    return BLANKS.sub(" ", text)
+
 
+def split_column(col: pa.Array) -> pa.ListArray:
+    """The words (runs of anything but white space) of normalised texts, among them empty ones at the edges; null counts as empty."""
+    col = pc.fill_null(col, "")
+    plain = pc.string_is_ascii(col)
+    low = pc.ascii_lower(col)
+    if not pc.all(plain).as_py() and len(col):
+        other = pc.invert(plain)
+        low = pc.replace_with_mask(low, other, pa.array([normalise(t) for t in col.filter(other).to_pylist()], pa.string()))
+    return pc.ascii_split_whitespace(low)
 
-def split_words(text: str) -> list[str]:
-    """Runs of anything but white space, of normalised text."""
-    return [w for w in SPLIT.split(text) if w] if ODD.search(text) else text.split()
+
+def gather(pool: np.ndarray, start: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The stretches pool[start : start + lens], one after the other."""
+    ends = np.cumsum(lens)
+    return pool[np.repeat(start - (ends - lens), lens) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class _Numbers(dict):
+    def __missing__(self, k):
+        self[k] = n = len(self)
+        return n
 
 
 class Merger:
@@ -89,14 +120,17 @@ class Merger:
         symbols = byte_symbols()
         self.inner = [ids.get(s, -1) for s in symbols]
         self.last = [ids.get(s + SUFFIX, -1) for s in symbols]
-        self.rules = {(a, b): (r, c) for r, (a, b, c) in enumerate(merges.tolist())}
-        self.cache: dict[str, list[int]] = {}
-        self.piece_cache: dict[str, list[int]] = {}
         self.inner_ids, self.last_ids = np.array(self.inner, np.int64), np.array(self.last, np.int64)
         m = merges.astype(np.int64).reshape(-1, 3)
         keys = (m[:, 0] << 32) | m[:, 1]
         order = np.argsort(keys, kind="stable")
         self.pair_keys, self.pair_ranks, self.results = keys[order], order, m[:, 2].copy()
+        self.merges = m
+
+    @functools.cached_property
+    def rules(self) -> dict:
+        """The rules as a dictionary, for long words only."""
+        return {(a, b): (r, c) for r, (a, b, c) in enumerate(self.merges.tolist())}
 
     def piece(self, word: str) -> list[int]:
         raw = word.encode("utf-8", "replace")
@@ -133,30 +167,30 @@ class Merger:
                 heapq.heappush(heap, (r, h, *p, d))
         return [x for x in s if x >= 0]
 
-    def pieces(self, pieces: list[str]) -> list[list[int]]:
-        """piece() of many: all words take their next merge (lowest rank, then leftmost) together, until none has one."""
-        out: list = [None] * len(pieces)
+    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of each's) of many: all words take their next merge (lowest rank, then leftmost) together, until none has one."""
         raw = [x.encode("utf-8", "replace") for x in pieces]
-        short = [i for i, x in enumerate(raw) if len(x) <= LONGEST_WORD]
-        for i in {*range(len(raw))}.difference(short):
-            out[i] = self.piece(pieces[i])
-        if not short or not len(self.pair_keys):
-            return [x if x is not None else self.piece(p) for x, p in zip(out, pieces, strict=True)]
-        lens = np.array([len(raw[i]) for i in short])
-        ends = np.cumsum(lens)
-        data = np.frombuffer(b"".join([raw[i] for i in short]), np.uint8)
+        lens = np.fromiter(map(len, raw), np.int64, len(raw))
+        short = np.flatnonzero(lens <= LONGEST_WORD)
+        done_ids, done_words = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(lens > LONGEST_WORD).tolist():
+            done_ids.append(np.array(self.piece(pieces[i]), np.int64))
+            done_words.append(np.full(len(done_ids[-1]), i))
+        lens = lens[short]
+        data = np.frombuffer(b"".join([raw[i] for i in short.tolist()]), np.uint8)
         ids = self.inner_ids[data]
+        ends = np.cumsum(lens)
         ids[ends - 1] = self.last_ids[data[ends - 1]]
-        word = np.repeat(np.arange(len(short)), lens)
+        word = np.repeat(short, lens)
         keep = ids >= 0
         ids, word = ids[keep], word[keep]
-        done_ids, done_words = [], []
         while len(ids):
-            at = np.searchsorted(self.pair_keys, key := (ids[:-1] << 32) | ids[1:])
-            at[at == len(self.pair_keys)] = 0
             score = np.full(len(ids), _NONE)
-            good = (self.pair_keys[at] == key) & (word[:-1] == word[1:])
-            score[:-1][good] = (self.pair_ranks[at[good]] << 32) | np.flatnonzero(good)
+            if len(self.pair_keys):
+                at = np.searchsorted(self.pair_keys, key := (ids[:-1] << 32) | ids[1:])
+                at[at == len(self.pair_keys)] = 0
+                good = (self.pair_keys[at] == key) & (word[:-1] == word[1:])
+                score[:-1][good] = (self.pair_ranks[at[good]] << 32) | np.flatnonzero(good)
             first = np.flatnonzero(np.diff(word, prepend=-1))
             best = np.minimum.reduceat(score, first)
             more = best < _NONE
@@ -168,42 +202,19 @@ class Merger:
             stay[place + 1] = False
             ids, word = ids[stay], word[stay]
         ids, word = np.concatenate(done_ids), np.concatenate(done_words)
-        order = np.argsort(word, kind="stable")
-        ids = ids[order].tolist()
-        cuts = np.searchsorted(word[order], np.arange(len(short) + 1)).tolist()
-        for k, i in enumerate(short):
-            out[i] = ids[cuts[k] : cuts[k + 1]]
-        return out
-
-    def words(self, words: list[str]) -> list[list[int]]:
-        """word() of many distinct words."""
-        cache = self.cache
-        new = [w for w in words if w not in cache]
-        split = [WORD.findall(w) for w in new]
-        names = list({p for x in split for p in x if p not in self.piece_cache})
-        if len(self.piece_cache) + len(names) > CACHE_WORDS:
-            self.piece_cache.clear()
-            names = list({p for x in split for p in x})
-        known = self.piece_cache
-        known.update(zip(names, self.pieces(names), strict=True))
-        if len(cache) + len(new) > CACHE_WORDS:
-            kept = [cache.get(w) for w in words]
-            cache.clear()
-        else:
-            kept = [cache.get(w) for w in words]
-        fresh = [known[x[0]] if len(x) == 1 else [i for p in x for i in known[p]] for x in split]
-        cache.update(zip(new, fresh, strict=True))
-        return [k if k is not None else cache[w] for k, w in zip(kept, words, strict=True)]
-
-    def word(self, word: str) -> list[int]:
-        got = self.cache.get(word)
-        if got is None:
-            got = [i for m in WORD.findall(word) for i in self.piece(m)]
-            if len(self.cache) >= CACHE_WORDS:
-                self.cache.clear()
-            if len(word) < 200:
-                self.cache[word] = got
-        return got
+        return ids[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(pieces))
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of each's) of many distinct words."""
+        split = [WORD.findall(w) for w in words]
+        count = np.fromiter(map(len, split), np.int64, len(split))
+        number = _Numbers()
+        which = np.fromiter((number[p] for x in split for p in x), np.int64, int(count.sum()))
+        ids, lens = self.pieces(list(number))
+        start = np.cumsum(lens) - lens
+        total = np.concatenate([[0], np.cumsum(lens[which])])
+        ends = np.cumsum(count)
+        return gather(ids, start[which], lens[which]), total[ends] - total[ends - count]
 
 
 def build_transducer(words: list[bytes]) -> dict[str, np.ndarray]:
@@ -241,14 +252,12 @@ def build_transducer(words: list[bytes]) -> dict[str, np.ndarray]:
     return {"keys": e[:, 0].copy(), "targets": e[:, 1].astype(np.int32), "skips": e[:, 2].astype(np.int32), "finals": np.array([n[0] for n in nodes], np.uint8), "root": np.array([root], np.int64)}
 
 
-def look_up(a: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
-    """Rank of each word in the automaton, -1 where it has none; all words walk together."""
-    n = len(words)
-    lens = np.fromiter(map(len, words), np.int64, n)
+def walk(a: dict[str, np.ndarray], raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Rank of each word of a column's bytes in the automaton, -1 where it has none; all words walk together."""
+    start, lens = offsets[:-1], np.diff(offsets)
+    n = len(lens)
     rank = np.zeros(n, np.int64)
     state = np.full(n, a["root"][0])
-    start = np.concatenate([[0], np.cumsum(lens)[:-1]]) if n else lens
-    raw = np.frombuffer(b"".join(words), np.uint8)
     live = np.flatnonzero(lens <= LONGEST_WORD) if len(a["keys"]) else np.zeros(0, np.int64)
     ok = np.zeros(n, bool)
     step = 0
@@ -268,6 +277,10 @@ def look_up(a: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
     return np.where(ok, rank, -1)
 
 
+def look_up(a: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
+    return walk(a, *buffers(pa.array(words, pa.binary()).cast(pa.string())))
+
+
 def read_tokenizer(path: str) -> dict:
     """Tokens by id, merge rules as (left, right, result) ids, and the added tokens of a tokenizer file."""
     with open(path, encoding="utf-8") as f:
@@ -287,9 +300,9 @@ def write_lexicon(path: str, tokenizer: dict, words: list[str]) -> None:
     """One flat file: a header line in JSON, then the arrays, each at a multiple of 64 bytes."""
     merger = Merger(tokenizer["tokens"], tokenizer["merges"])
     raw = sorted({w.encode("utf-8", "replace") for w in words if w})
-    ids = [merger.word(w.decode()) for w in raw]
-    ends = np.cumsum([0, *map(len, ids), 0]).astype(np.int64)
-    arrays = build_transducer(raw) | {"ends": ends, "ids": np.array([i for x in ids for i in x], np.int32), "merges": tokenizer["merges"], "tokens": np.frombuffer("\0".join(tokenizer["tokens"]).encode(), np.uint8)}
+    ids, lens = merger.words([w.decode() for w in raw])
+    ends = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64)
+    arrays = build_transducer(raw) | {"ends": ends, "ids": ids.astype(np.int32), "merges": tokenizer["merges"], "tokens": np.frombuffer("\0".join(tokenizer["tokens"]).encode(), np.uint8)}
     head, at = {}, 0
     for k, v in arrays.items():
         head[k] = [at, str(v.dtype), list(v.shape)]
@@ -311,63 +324,68 @@ class Lexicon:
         head, raw = json.loads(line), np.memmap(path, np.uint8, "r")
         a = {k: raw[len(line) + at : len(line) + at + int(np.prod(shape)) * np.dtype(kind).itemsize].view(np.ndarray).view(kind).reshape(shape) for k, (at, kind, shape) in head["arrays"].items()}
         self.automaton = {k: a[k] for k in ("keys", "targets", "skips", "finals", "root")}
-        self.ends, self.id_list = a["ends"], a["ids"].tolist()
-        self.tokens = a["tokens"].tobytes().decode().split("\0")
-        self.merger = Merger(self.tokens, a["merges"])
+        self.ends, self.ids = a["ends"], a["ids"]
+        tokens = a["tokens"].tobytes().decode().split("\0")
+        self.tokens = pa.array(tokens, pa.string())
+        self.merger = Merger(tokens, a["merges"])
         self.added = head["added"]
         self.find = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
 
-    def word_ids(self, words: list) -> list[list[int]]:
-        """Ids of distinct words; an integer stands for an added token."""
-        text = [w if isinstance(w, str) else "" for w in words]
-        rank = look_up(self.automaton, [w.encode("utf-8", "replace") for w in text])
-        a, b = self.ends[rank].tolist(), self.ends[rank + 1].tolist()  # rank -1: unused
-        ids, rank = self.id_list, rank.tolist()
-        unseen = [w for w, r in zip(words, rank, strict=True) if r < 0 and isinstance(w, str)]
-        merged = iter(self.merger.words(unseen))
-        return [ids[i:j] if r >= 0 else next(merged) if isinstance(w, str) else [w] for w, r, i, j in zip(words, rank, a, b, strict=True)]
-
-    def words(self, text: str) -> list:
-        if self.find is None or "<" not in text or not self.find.search(text):
-            return split_words(normalise(text))
-        out: list = []
-        at = 0
-        for m in self.find.finditer(text):
-            out += split_words(normalise(text[at : m.start()]))
-            out.append(self.added[m[0]])
-            at = m.end()
-        return out + split_words(normalise(text[at:]))
+    def word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, number of each's) of distinct words: from the automaton, else merged."""
+        rank = walk(self.automaton, *buffers(words))
+        known, other = np.flatnonzero(rank >= 0), np.flatnonzero(rank < 0)
+        start, lens = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
+        lens[known] = self.ends[rank[known] + 1] - self.ends[rank[known]]
+        mapped = gather(self.ids, self.ends[rank[known]], lens[known])
+        start[known] = np.cumsum(lens[known]) - lens[known]
+        merged, lens[other] = self.merger.words(words.take(pa.array(other)).to_pylist())
+        start[other] = len(mapped) + np.cumsum(lens[other]) - lens[other]
+        return np.concatenate([mapped, merged]), start, lens
+
+    def stretches(self, col: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(texts between added tokens, row of each, id of the added token that follows it or -1)."""
+        rows = np.arange(len(col))
+        if not any(pc.any(pc.match_substring(col, t)).as_py() for t in self.added):
+            return col, rows, np.full(len(col), -1)
+        texts, at, after = [], [], []
+        for r, t in enumerate(col.to_pylist()):
+            begin = 0
+            for m in self.find.finditer(t or ""):
+                texts.append(t[begin : m.start()])
+                at.append(r)
+                after.append(self.added[m[0]])
+                begin = m.end()
+            texts.append((t or "")[begin:])
+            at.append(r)
+            after.append(-1)
+        return pa.array(texts, pa.string()), np.array(at), np.array(after)
+
+
+def encode_column(lex: Lexicon, col: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(ids of all texts, where each text's ids begin and the last one's end, decoded texts)."""
+    texts, row, after = lex.stretches(col)
+    split = split_column(texts)
+    coded = split.values.dictionary_encode()
+    which = coded.indices.to_numpy(zero_copy_only=False)
+    pool, start, lens = lex.word_ids(coded.dictionary)
+    ids = gather(pool, start[which], lens[which])
+    bounds = np.concatenate([[0], np.cumsum(lens[which])])[split.offsets.to_numpy()]
+    n = np.diff(bounds) + (after >= 0)
+    if (after >= 0).any():
+        ids = np.insert(ids, bounds[1:][after >= 0], after[after >= 0])
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(row, n, minlength=len(col)).astype(np.int64))])
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), lex.tokens.take(pa.array(ids))), " ")
+    return ids.astype(np.uint32), bounds, joined
 
 
-class _Numbers(dict):
-    def __missing__(self, k):
-        self[k] = n = len(self)
-        return n
+def encode_batch(lex: Lexicon, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """encode_column() of a list."""
+    ids, bounds, decoded = encode_column(lex, pa.array(texts, pa.string()))
+    return ids, bounds, decoded.to_pylist()
 
 
-def encode_batch(lex: Lexicon, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(ids of all texts, where each text's ids end, decoded texts)."""
-    number = _Numbers()
-    words = [np.fromiter(map(number.__getitem__, lex.words(t or "")), np.int64) for t in texts]
-    ids = lex.word_ids(list(number))
-    decoded = [" ".join([lex.tokens[i] for i in x]) for x in ids]
-    lens = np.array([len(x) for x in ids], np.int64)
-    flat = np.array([i for x in ids for i in x], np.uint32)
-    start = np.cumsum(lens) - lens
-    every = np.concatenate(words) if words else np.zeros(0, np.int64)
-    each = lens[every]
-    ends = np.cumsum(each)
-    at = np.repeat(start[every] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)
-    bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, words)])]
-    empty = {i for i, x in enumerate(ids) if not x}
-    if empty:
-        out = [" ".join([decoded[i] for i in w.tolist() if i not in empty]) for w in words]
-    else:
-        out = [" ".join(map(decoded.__getitem__, w.tolist())) for w in words]
-    return flat[at], bounds, out
-
-
-@functools.lru_cache(2)
+@functools.lru_cache(1)
 def _open(name: str) -> Lexicon:
     return Lexicon(SparkFiles.get(name))
 
@@ -377,24 +395,25 @@ def frequent_words(docs: DataFrame, text: str = "text", most: int = LEXICON_WORD
 
     def count(batches):
         for whole in batches:
-            seen: dict[str, int] = {}
-            for b in slices(whole, text, 32 << 20):
-                for t in b.column(text).to_pylist():
-                    for w in split_words(normalise(t or "")):
-                        seen[w] = seen.get(w, 0) + 1
-            words = [w for w in seen if len(w) <= LONGEST_WORD]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([seen[w] for w in words], pa.int64())], names=["word", "n"])
-
-    counts = cut(docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+            for b in slices(whole, text, 2 * BATCH):
+                got = pc.value_counts(split_column(b.column(text)).values)
+                got = got.filter(pc.and_(pc.greater(pc.binary_length(got.field(0)), 0), pc.less_equal(pc.binary_length(got.field(0)), LONGEST_WORD)))
+                yield pa.RecordBatch.from_arrays([got.field(0), got.field(1)], names=["word", "n"])
+
+    counts = cut(in_arrow(docs.select(text), count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     # A sorted limit would bring `most` rows of every partition to the driver; the histogram of counts has some hundred.
     step = F.floor(F.log2("n") * 8).cast("int")
     histogram = sorted(((r["step"], r["words"]) for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
-    least, taken = 1 << 30, 0
+    least, edge, room, share = 1 << 30, -1, most, 0.0
     for at, words in histogram:
-        if (taken := taken + words) > most:
+        if words > room:  # of the step that does not fit whole, as many as fit, by hash
+            edge, share = at, room / words
             break
-        least = at
-    return sorted(r["word"] for r in counts.where(step >= least).select("word").collect())
+        least, room = at, room - words
+    some = (step == edge) & (F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    chosen = sorted(r["word"] for r in counts.where((step >= least) | some).select("word").toLocalIterator())
+    discard(counts)
+    return chosen
 
 
 def compile_lexicon(spark, path: str, words: list[str]) -> str:
@@ -419,12 +438,12 @@ def bpe(docs: DataFrame, path: str, text: str = "text", lexicon: str | None = No
     name = lexicon or compile_lexicon(docs.sparkSession, path, frequent_words(docs, text))
 
     def fn(b):
-        ids, bounds, decoded = encode_batch(_open(name), b.column(text).to_pylist())
+        ids, bounds, decoded = encode_column(_open(name), b.column(text))
         offsets = (bounds * 4).astype(np.int32)
-        binary = pa.Array.from_buffers(pa.binary(), len(decoded), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
+        binary = pa.Array.from_buffers(pa.binary(), len(decoded), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4"))])
         return {"n_tokens": np.diff(bounds), "ids": binary, "decoded": decoded}
 
-    return map_batches(docs, "n_tokens long, ids binary, decoded string", fn, text, 4 << 20)
+    return map_batches(docs, "n_tokens long, ids binary, decoded string", fn, text, BATCH)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import buffers, drop_existing, map_batches, parts
+from .core import buffers, drop_existing, in_arrow, map_batches, parts
 
 OPEN, MIDDLE, CLOSE = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 LEARN = "assistant"
@@ -146,7 +146,7 @@ def digest_conversations(formatted: DataFrame, conv: str, order: list[str]) -> D
         if out:
             yield pa.RecordBatch.from_pylist([dict(zip(NAMES, x, strict=True)) for x in out], schema=SCHEMA)
 
-    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return in_arrow(rows, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 NAMES = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]

@@ -7,6 +7,7 @@ inside a multi-byte UTF-8 sequence.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,13 +19,20 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Bytes of text hashed at a time; bounds the worker's scratch memory for texts of any length.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 512 << 10
+#: Join keys, for each shuffle partition, over which the rows of one key are dealt.
+SALTS = 8
+#: Rows and bytes of the Arrow batches that Spark hands to a worker, where the session leaves them open.
+BATCH_ROWS, BATCH_BYTES = 4000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir; a temporary one where that is unset."""
+    """The folder that all machines share: spark.checkpoint.dir. In local mode a temporary one where that is unset; on a cluster
+    an error, because each machine would write to its own disk."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="pagewright-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -35,7 +43,40 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Deletes what cut() has written, once nothing reads it any more."""
+    for df in cuts:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of bounded size, unless the session has set its own."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if key not in spark.conf.getAll:
+            spark.conf.set(key, str(most))
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) over batches of bounded size; a worker gives its memory back after each task."""
+    small_batches(df.sparkSession)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _POWERS.clear()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not glibc
+            pass
+
+    return df.mapInArrow(lean, schema)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -92,7 +133,7 @@ def map_batches(df: DataFrame, add: str, fn, text: str | None = None, most: int
                     cols = [c if isinstance(c, pa.Array) and c.type == k.type else pa.array(c, type=k.type) for c, k in ((got[k.name], k) for k in kinds)]
                     yield pa.RecordBatch.from_arrays([*b.columns, *cols], schema=pa.schema([*b.schema, *kinds]))
 
-    return base.mapInArrow(run, schema)
+    return in_arrow(base, run, schema)
 
 
 def arrow_type(kind) -> pa.DataType:
@@ -208,10 +249,11 @@ def gram_hashes(h: np.ndarray, k: int, seed: int = 0x51A5EED5) -> np.ndarray:
     return mix(out ^ U64(seed))
 
 
-def salted_lookup(rows: DataFrame, table: DataFrame, keys: list[str], by: Column, salts: int = 64, how: str = "left") -> DataFrame:
+def salted_lookup(rows: DataFrame, table: DataFrame, keys: list[str], by: Column, how: str = "left") -> DataFrame:
     """rows joined with table, which has one row for each key. A key may hold any share of rows: rows of a key are
-    dealt over `salts` join keys, and table follows only to the (key, salt) pairs that occur."""
+    dealt over SALTS join keys for each partition, and table follows only to the (key, salt) pairs that occur."""
     (salt,) = fresh(rows, "salt")
+    salts = SALTS * parts(rows.sparkSession)
     salted = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     pairs = salted.groupBy(*keys, salt).agg(F.lit(1).alias("n_")).drop("n_").join(table, keys, "inner")
     return salted.join(pairs, [*keys, salt], how).drop(salt)
@@ -224,7 +266,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     roots, and edges move to the roots. Nodes with many edges cost partial minima only; each round is written to
     the shared folder. The number of rounds is logarithmic.
     """
-    spark = edges.sparkSession
     todo = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
     maps = []
     while not todo.isEmpty():
@@ -232,21 +273,28 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         point = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "points")
         while True:
             up = point.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            nxt = cut(salted_lookup(point, up, ["root"], F.col("node")).select("node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "points")
-            point = nxt.select("node", "root")
+            nxt = cut(salted_lookup(point.select("node", "root"), up, ["root"], F.col("node")).select("node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "points")
+            discard(point)
+            point = nxt
             if nxt.where("moved").isEmpty():
                 break
         maps.append(point)
-        left = salted_lookup(todo.withColumnRenamed("a", "node"), point, ["node"], F.col("b")).select(F.col("root").alias("a"), "b")
-        left = salted_lookup(left.withColumnRenamed("b", "node"), point, ["node"], F.col("a")).select("a", F.col("root").alias("b"))
-        todo = cut(left.where("a <> b").distinct(), "edges")
+        root = point.select("node", "root")
+        left = salted_lookup(todo.withColumnRenamed("a", "node"), root, ["node"], F.col("b")).select(F.col("root").alias("a"), "b")
+        left = salted_lookup(left.withColumnRenamed("b", "node"), root, ["node"], F.col("a")).select("a", F.col("root").alias("b"))
+        before, todo = todo, cut(left.where("a <> b").distinct(), "edges")
+        discard(before)
+    discard(todo)
     if not maps:
         return edges.select(F.col(a).alias("node"), F.col(a).alias("root")).where("false")
-    out = maps[0]
+    out = maps[0].select("node", "root")
     for m in maps[1:]:
         up = m.select(F.col("node").alias("root"), F.col("root").alias("up"))
         out = salted_lookup(out, up, ["root"], F.col("node")).select("node", F.coalesce("up", "root").alias("root"))
-    return cut(out, "components") if len(maps) > 1 else out
+    if len(maps) > 1:
+        out = cut(out, "components")
+        discard(*maps)
+    return out
 
 
 def sha256_hex(c: Column) -> Column:

@@ -19,6 +19,7 @@ the classes that share such a shingle:
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import U64, components, cut, gram_hashes, mix, parts, salted_lookup, slices, words
+from .core import U64, components, cut, discard, gram_hashes, in_arrow, mix, parts, salted_lookup, slices, words
 
 SHINGLE = 5
 LINK = (80, 100)
@@ -39,6 +40,7 @@ SKETCH_BLOCKS = 64
 #: A block of more classes is linked as a whole before verification; a chunk holds about this many shingles.
 LARGEST_BLOCK = 50_000
 CHUNK_SHINGLES = 2_000_000
+BUCKET_ENTRIES = 250_000  # prefix entries that one task groups
 BLOOM_BITS = 1 << 26  # 8 MB
 PIECE = 4 << 20  # bytes of text that a worker hashes at a time
 
@@ -241,7 +243,7 @@ def profile(docs: DataFrame, text: str, key: str) -> DataFrame:
         yield _batch(id=none, cls=none, n=none, point=pa.nulls(SKETCH_BLOCKS, pa.binary()), block=pa.array(range(SKETCH_BLOCKS), pa.int32()), cells=pa.array(blocks, pa.binary()))
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    return cut(rows.mapInArrow(run, "id long, cls long, n long, point binary, block int, cells binary"), "profile")
+    return cut(in_arrow(rows, run, "id long, cls long, n long, point binary, block int, cells binary"), "profile")
 
 
 def _batch(**columns) -> pa.RecordBatch:
@@ -262,7 +264,7 @@ def sketch_levels(table: DataFrame) -> np.ndarray:
 
     rows = table.where(F.col("block").isNotNull()).select("block", "cells")
     cells = np.zeros((SKETCH_BLOCKS, CELLS // SKETCH_BLOCKS))
-    for r in rows.repartition(SKETCH_BLOCKS, "block").mapInArrow(add, "block int, cells binary").toLocalIterator():
+    for r in in_arrow(rows.repartition(SKETCH_BLOCKS, "block"), add, "block int, cells binary").toLocalIterator():
         cells[r["block"]] = np.frombuffer(r["cells"], np.int64)
     cells = cells.ravel()
     return np.clip(np.log2(np.maximum(cells, 1) / max(1.0, cells.mean())), 0, 40).astype(np.uint8)
@@ -320,9 +322,9 @@ def blocks(docs: DataFrame, text: str, levels: np.ndarray, buckets: int) -> Data
             if len(rows_at):
                 yield _batch(block=pa.array(np.repeat((name[at] >> U64(1)).astype(np.int64), n)), cls=pa.array(o[rows_at]), other=pa.nulls(len(rows_at), pa.int64()))
 
-    runs = docs.select(F.col(text).alias("text")).mapInArrow(emit, "bucket int, run binary")
+    runs = in_arrow(docs.select(F.col(text).alias("text")), emit, "bucket int, run binary")
     dealt = runs.repartition(max(buckets, parts(docs.sparkSession)), "bucket").sortWithinPartitions("bucket")
-    return cut(dealt.mapInArrow(group, "block long, cls long, other long"), "blocks")
+    return cut(in_arrow(dealt, group, "block long, cls long, other long"), "blocks")
 
 
 def _pack(k: np.ndarray, o: np.ndarray) -> bytes:
@@ -359,7 +361,7 @@ def possible_edges(members: DataFrame, classes: DataFrame) -> DataFrame:
     rows = salted_lookup(members.where(F.col("block").isNotNull()).select("block", "cls").distinct(), classes, ["cls"], F.col("block"), how="inner")
     n = parts(members.sparkSession)
     dealt = rows.select("block", "cls", "n", "point").repartition(n, "block").sortWithinPartitions("block")
-    return dealt.mapInArrow(run, "a long, b long")
+    return in_arrow(dealt, run, "a long, b long")
 
 
 def label_heads(label) -> list[int]:
@@ -397,7 +399,7 @@ def exact_edges(rows: DataFrame, keys: list[str], tiles: bool = False) -> DataFr
 
     n = parts(rows.sparkSession)
     dealt = rows.select(*keys, "cls", "known", "side", "members").repartition(n, *keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(run, "a long, b long")
+    return in_arrow(dealt, run, "a long, b long")
 
 
 def sets_of(docs: DataFrame, text: str, key: str, wanted: DataFrame) -> DataFrame:
@@ -418,7 +420,7 @@ def sets_of(docs: DataFrame, text: str, key: str, wanted: DataFrame) -> DataFram
                 yield _batch(id=part.column("id"), cls=pa.array([class_of(s) for s in sets], pa.int64()), members=pa.array([s.tobytes() for s in sets], pa.binary()))
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).withColumn("p", spot)
-    return wanted.join(rows.mapInArrow(run, "id long, cls long, members binary"), ["id", "cls"])
+    return wanted.join(in_arrow(rows, run, "id long, cls long, members binary"), ["id", "cls"])
 
 
 def linked_classes(docs: DataFrame, text: str, key: str, table: DataFrame) -> DataFrame:
@@ -426,12 +428,11 @@ def linked_classes(docs: DataFrame, text: str, key: str, table: DataFrame) -> Da
     real = table.where(F.col("block").isNull() & F.col("id").isNotNull() & (F.col("n") > 0))
     classes = real.groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("point").alias("point"))
     total = table.agg(F.sum("n")).first()[0] or 0
-    buckets = 16
-    while buckets * 1_000_000 < total // 5:
-        buckets *= 2
+    buckets = 1 << max(2, int(total // 5 // BUCKET_ENTRIES).bit_length())
     members = blocks(docs.where(F.col(key).isNotNull()), text, sketch_levels(table), buckets)
     may = possible_edges(members, classes).unionByName(members.where(F.col("other").isNotNull()).select(F.col("cls").alias("a"), F.col("other").alias("b")))
     coarse = components(may)
+    discard(members)
     wanted = salted_lookup(coarse.withColumnsRenamed({"node": "cls", "root": "comp"}), classes.select("cls", "id", "n"), ["cls"], F.col("cls"), how="inner")
     weight = wanted.groupBy("comp").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).cast("int").alias("chunks"))
     wanted = salted_lookup(wanted, weight, ["comp"], F.col("cls")).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
@@ -439,7 +440,8 @@ def linked_classes(docs: DataFrame, text: str, key: str, table: DataFrame) -> Da
     edges = cut(exact_edges(rows.withColumn("known", F.col("cls")), ["comp", "chunk"]), "links")
     large = rows.where("chunks > 1")
     if large.isEmpty():
-        return components(edges)
+        discard(rows)
+        return _done(edges)
     for turn in itertools.count():  # representatives of the components found so far, over fewer and fewer chunks
         found = components(edges)
         labelled = salted_lookup(large, found.withColumnsRenamed({"node": "cls", "root": "label"}), ["cls"], F.col("cls")).withColumn("label", F.coalesce("label", "cls"))
@@ -449,13 +451,22 @@ def linked_classes(docs: DataFrame, text: str, key: str, table: DataFrame) -> Da
         again = again.withColumn("part", F.pmod(F.xxhash64("cls", F.lit(turn)), F.ceil(F.col("size") / CHUNK_SHINGLES)).cast("int"))
         more = cut(exact_edges(again.withColumn("known", F.col("cls")), ["comp", "part"]), "links")
         if more.isEmpty():
+            discard(more)
             break
-        edges = cut(edges.unionByName(more), "links")
+        before, edges = edges, cut(edges.unionByName(more), "links")
+        discard(before, more)
     open_ = salted_lookup(labelled, size.where("heads > 1").select("comp", "heads"), ["comp"], F.col("cls"), how="inner").withColumn("known", F.col("label"))
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
     tiled = open_.select("*", other).where("other <> chunk").withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")})
     last = cut(exact_edges(tiled, ["comp", "lo", "hi"], tiles=True), "links")
-    return components(edges.unionByName(last))
+    discard(rows)
+    return _done(edges, last)
+
+
+def _done(*edges: DataFrame) -> DataFrame:
+    found = components(functools.reduce(DataFrame.unionByName, edges))
+    discard(*edges)
+    return found
 
 
 def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import U64, map_batches, mix
+from .core import U64, drop_existing, in_arrow, map_batches, mix
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
@@ -86,7 +86,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         for s in range(0, len(i), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(i[s : s + 100_000]), pa.array(j[s : s + 100_000]), pa.array(sums[i[s : s + 100_000], j[s : s + 100_000]])], names=["i", "j", "n"])
 
-    found = rows.where(F.col("place") < limit).select("text", "lang").mapInArrow(count, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()
+    found = in_arrow(rows.where(F.col("place") < limit).select("text", "lang"), count, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()
     sums = np.zeros((len(names), BUCKETS))
     sums[found["i"].to_numpy(), found["j"].to_numpy()] = found["n"].to_numpy()
     seen = sums.sum(1) > 0
