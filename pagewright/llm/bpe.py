@@ -469,7 +469,10 @@ def _digests(docs: DataFrame) -> DataFrame:
 
 
 def stage_bpe(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: ids of every document, and digests of them and of their decoded text."""
+    """Pipeline stage, the last: n_tokens of every document, and digests of its ids and of their decoded text.
+
+    A null or empty text has no ids; repeated rows and null keys are encoded each; an empty table gives an empty result; other
+    columns are not read."""
     return _digests(docs)
 
 

@@ -96,6 +96,13 @@ def drop_existing(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in new])
 
 
+def shelter(df: DataFrame, names: list[str]):
+    """(df with its columns of these names renamed, a function that gives a frame made from it df's columns again)."""
+    clash = [c for c in df.columns if c.lower() in {n.lower() for n in names}]
+    new = dict(zip(clash, fresh(df, *[f"kept_{c}" for c in clash]), strict=True))
+    return df.withColumnsRenamed(new), lambda out: out.select(*[F.col(f"`{new.get(c, c)}`").alias(c) for c in df.columns])
+
+
 def parts(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -6,8 +6,9 @@ that ends at the current place: a block that no pattern holds lets the search sk
 as its last place in a pattern allows. At shift zero the block's hash picks the patterns that end in it, and the words
 themselves are compared, first by hash, then byte by byte. Many stretches of text move in step in numpy.
 
-The benchmark is compiled in blocks of at most BLOCK_WORDS words. Each block is one pass over the documents that adds
-to the row's own columns, so nothing shuffles, and a benchmark of any size costs passes rather than memory.
+Compiled patterns are places in one buffer of the benchmark's words: with hashes and tables some ten times the text. The
+benchmark is compiled in blocks of about BLOCK_BYTES of text (an item is not split). Each block is one pass over the documents that
+adds to the row's own columns, so nothing shuffles, and a benchmark of any size costs passes rather than memory.
 """
 
 from __future__ import annotations
@@ -17,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import LOWER, NOT_ALNUM, U64, Words, cut, drop_existing, fresh, map_batches, words
+from .core import NOT_ALNUM, U64, Words, cut, drop_existing, fresh, map_batches, shelter, words
 
 WINDOW = 8
-BLOCK_WORDS = 500_000
+BLOCK_BYTES = 4 << 20
 TABLE = 1 << 18
 STRETCH = 512
 _PAIR = U64(0x9FB21C651E98DF25)
@@ -31,19 +32,33 @@ def _blocks(h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return h[at] if size == 1 else (h[at - 1] * _PAIR + h[at])
 
 
+def same_words(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
+    """Whether word i of a and word j of b are the same bytes, for arrays of places."""
+    n = a.ends[i] - a.starts[i]
+    out = n == b.ends[j] - b.starts[j]
+    at = np.flatnonzero(out)
+    if len(at):
+        n = n[at]
+        begin = np.cumsum(n) - n
+        step = np.arange(n.sum())
+        differ = a.raw[np.repeat(a.starts[i[at]] - begin, n) + step] != b.raw[np.repeat(b.starts[j[at]] - begin, n) + step]
+        out[at] = ~np.logical_or.reduceat(differ, begin)
+    return out
+
+
 class Patterns:
-    """Compiled patterns of one length: shift table, suffix buckets and the words themselves."""
+    """Compiled patterns of one length: shift table, suffix buckets, the first word of each pattern in w, and its items."""
 
-    def __init__(self, length: int, grams: list[list[bytes]], hashes: np.ndarray, items: list[list[str]]):
-        self.length = length
+    def __init__(self, length: int, w: Words, first: np.ndarray, cuts: np.ndarray, items: np.ndarray):
+        self.length, self.w = length, w
         self.block = min(2, length)
-        keys = hashes[:, -1] if length == 1 else hashes[:, -2] * _PAIR + hashes[:, -1]
+        keys = _blocks(w.hashes, first + length - 1, self.block)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.hashes, self.grams, self.items = keys[order], hashes[order], [grams[i] for i in order], [items[i] for i in order]
-        most = length - self.block + 1
-        self.shift = np.full(TABLE, most, np.uint8)
+        self.keys, self.first, self.number = keys[order], first[order], order
+        self.cuts, self.items = cuts, items  # items[cuts[p] : cuts[p + 1]]: numbers of the items of pattern p
+        self.shift = np.full(TABLE, length - self.block + 1, np.uint8)
         for j in range(self.block - 1, length):  # blocks further right allow smaller shifts
-            b = hashes[:, j] if self.block == 1 else hashes[:, j - 1] * _PAIR + hashes[:, j]
+            b = _blocks(w.hashes, first + j, self.block)
             np.minimum.at(self.shift, (b % U64(TABLE)).astype(np.int64), np.uint8(length - 1 - j))
 
     def search(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -72,42 +87,49 @@ class Patterns:
         many = hi - lo
         place = np.repeat(place.astype(np.int64), many)
         which = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        same = np.ones(len(place), bool)
-        for j in range(n):
-            same[same] = h[place[same] - (n - 1 - j)] == self.hashes[which[same], j]
-        place, which = place[same], which[same]
-        same = np.fromiter((all(w.bytes_of(p - n + 1 + j) == g for j, g in enumerate(self.grams[q])) for p, q in zip(place.tolist(), which.tolist(), strict=True)), bool, len(place))
-        return place[same], which[same]
+        for test in (lambda i, j: h[i] == self.w.hashes[j], lambda i, j: same_words(w, i, self.w, j)):
+            for j in range(n):
+                same = test(place - (n - 1 - j), self.first[which] + j)
+                place, which = place[same], which[same]
+        return place, self.number[which]
 
 
-def compile_patterns(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> list[Patterns]:
-    """Patterns by length, of (item id, text) rows. Items without words give none."""
+def compile_patterns(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> tuple[list[Patterns], list[str]]:
+    """(patterns by length, names of items) of (item id, text) rows. Items without words give none."""
     w = words(pa.array([t for _, t in items], pa.string()), NOT_ALNUM, lower=True)
-    by: dict[int, dict[tuple, list]] = {}
-    for r, (item, _) in enumerate(items):
-        a, b = int(w.first[r]), int(w.first[r + 1])
-        n = min(window, b - a)
-        for i in range(a, b - n + 1) if n else ():
-            gram = tuple(w.bytes_of(j) for j in range(i, i + n))
-            entry = by.setdefault(n, {}).setdefault(gram, [w.hashes[i : i + n], []])
-            if item is not None and item not in entry[1]:
-                entry[1].append(item)
-    return [Patterns(n, [list(g) for g in grams], np.stack([e[0] for e in grams.values()]), [e[1] for e in grams.values()]) for n, grams in sorted(by.items())]
-
-
-def find(b: pa.RecordBatch, text: str, patterns: list[Patterns]) -> tuple[Words, np.ndarray, list[list[str]]]:
+    names = sorted({i for i, _ in items if i is not None})
+    number = {k: n for n, k in enumerate(names)}
+    item = np.array([number.get(i, -1) for i, _ in items], np.int64)
+    length = np.minimum(window, w.counts())
+    out = []
+    for n in np.unique(length[length > 0]).tolist():
+        rows = np.flatnonzero(length == n)
+        many = w.counts()[rows] - n + 1
+        first = np.repeat(w.first[rows] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        _, once, which = np.unique(np.stack([w.hashes[first + j] for j in range(n)], axis=1), axis=0, return_index=True, return_inverse=True)
+        pairs = np.unique(np.stack([which.ravel(), np.repeat(item[rows], many)], axis=1), axis=0)
+        pairs = pairs[pairs[:, 1] >= 0]
+        out.append(Patterns(n, w, first[once], np.searchsorted(pairs[:, 0], np.arange(len(once) + 1)), pairs[:, 1]))
+    return out, names
+
+
+def find(b: pa.RecordBatch, text: str, patterns: list[Patterns], names: list[str]) -> tuple[Words, np.ndarray, list[list[str]]]:
     """(words, which of them are hit, item ids of each row)."""
     w = words(b.column(text), NOT_ALNUM, lower=True)
     edge = np.zeros(len(w.starts) + 1, np.int64)
-    items: list[set] = [set() for _ in range(b.num_rows)]
+    pairs = [np.zeros((0, 2), np.int64)]
     for p in patterns:
         place, which = p.search(w)
         np.add.at(edge, place - p.length + 1, 1)
         np.add.at(edge, place + 1, -1)
-        rows = w.row[place]
-        for r, q in {*zip(rows.tolist(), which.tolist(), strict=True)}:
-            items[r].update(p.items[q])
-    return w, np.cumsum(edge)[:-1] > 0, [sorted(x) for x in items]
+        seen = np.unique(np.stack([w.row[place], which], axis=1), axis=0)
+        many = p.cuts[seen[:, 1] + 1] - p.cuts[seen[:, 1]]
+        at = np.repeat(p.cuts[seen[:, 1]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        pairs.append(np.stack([np.repeat(seen[:, 0], many), p.items[at]], axis=1))
+    found = np.unique(np.concatenate(pairs), axis=0)
+    cuts = np.searchsorted(found[:, 0], np.arange(b.num_rows + 1)).tolist()
+    ids = found[:, 1].tolist()
+    return w, np.cumsum(edge)[:-1] > 0, [[names[i] for i in ids[x:y]] for x, y in zip(cuts, cuts[1:])]
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -117,19 +139,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     is not listed; an item id that occurs in several rows is listed once. Columns of docs with these names are replaced.
     An empty benchmark gives no hits, an empty table an empty result. Repeated rows are judged each.
     """
-    size = benchmark.agg(F.sum(F.length(item_text))).first()[0] or 0
-    passes = 1 + size // (BLOCK_WORDS * 5)
+    size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
+    passes = 1 + size // BLOCK_BYTES
     old_hits, old_items = fresh(docs, "hits_before", "items_before")
     docs = drop_existing(docs, ["n_words", "n_hit", "hits", "items"])
     bench = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("text"))
     for k in range(passes):
         rows = bench if passes == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)
         patterns = compile_patterns([(r["item"], r["text"]) for r in rows.toLocalIterator()], window)
-        shared = docs.sparkSession.sparkContext.broadcast(patterns)  # of BLOCK_WORDS words at about five letters each
+        shared = docs.sparkSession.sparkContext.broadcast(patterns)  # of about BLOCK_BYTES of text
         first = k == 0
 
         def fn(b, shared=shared, first=first):
-            w, hit, items = find(b, text, shared.value)
+            w, hit, items = find(b, text, *shared.value)
             if not first:
                 for r, (spans, more) in enumerate(zip(b.column(old_hits).to_pylist(), b.column(old_items).to_pylist(), strict=True)):
                     for s in spans:
@@ -161,9 +183,13 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def stage_decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents in which fewer than two benchmark items occur."""
+    """Pipeline stage: documents in which fewer than two benchmark items occur.
+
+    A null or empty text holds none and stays; repeated rows and null keys are judged each; an empty table stays empty; columns
+    of docs with the operator's names keep their own values."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return find_contamination(docs, bench).where(F.size("items") < 2).select(*docs.columns)
+    safe, back = shelter(docs, ["n_words", "n_hit", "hits", "items"])
+    return back(find_contamination(safe, bench).where(F.size("items") < 2))
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

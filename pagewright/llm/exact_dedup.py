@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import cut, drop_existing, fresh, salted_lookup
+from .core import cut, drop_existing, fresh, salted_lookup, shelter
 
 BITS_PER_ROW = 16
 MAX_BITS = 1 << 28
@@ -84,8 +84,12 @@ def drop_exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_i
 
 
 def stage_exact_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of equal texts."""
-    return drop_exact_duplicates(docs).select(*docs.columns)
+    """Pipeline stage: of each group of equal texts the document with the largest doc_id, rows that repeat it once.
+
+    Null and empty texts are one group; of rows whose doc_id is null, one for each text stays if its group has no other; an empty
+    table stays empty; columns of docs with the operator's names keep their values."""
+    safe, back = shelter(docs, ["keep_id", "group_size", "kept"])
+    return back(drop_exact_duplicates(safe))
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:

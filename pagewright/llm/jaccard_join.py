@@ -489,7 +489,10 @@ def jaccard_join(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
 
 
 def stage_jaccard(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest doc_id; every document with a null doc_id, which is linked with nothing."""
+    """Pipeline stage: of each component the document with the smallest doc_id; every document with a null doc_id, which is linked with nothing.
+
+    Null and empty texts are linked with nothing and stay; rows that repeat the smallest doc_id stay with it; an empty table
+    stays empty; other columns are passed on as they are."""
     first = jaccard_join(docs).where("doc_id = component_id").select("doc_id")
     kept = docs.join(first.distinct(), "doc_id", "left_semi").select(*docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))

@@ -16,24 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import U64, drop_existing, in_arrow, map_batches, mix
+from .core import U64, drop_existing, in_arrow, map_batches, mix, shelter
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3, 4)
 TRAIN_ROWS = 4000
-#: Characters taken at a time, with an overlap of the longest n-gram.
-PIECE = 1 << 20
+PIECE = 1 << 20  # characters taken at a time
+MAX_LANGUAGES = 200  # bounds the matrix: 52 MB
 UNKNOWN = "und"
 
 
-def _codes(text: str):
-    """Lower-cased code points with 32 for all but letters, blanks folded, in pieces of bounded size."""
-    text = text.lower()
-    for i in range(0, len(text), PIECE):
-        c = np.frombuffer(text[i : i + PIECE + max(ORDERS) - 1].encode("utf-32-le", "surrogatepass"), np.uint32)
-        yield c, i + PIECE >= len(text)
-
-
 def _is_letter(c: np.ndarray) -> np.ndarray:
     out = ((c >= 97) & (c <= 122)) | ((c >= 65) & (c <= 90))
     rest = np.flatnonzero(c >= 128)
@@ -43,23 +35,33 @@ def _is_letter(c: np.ndarray) -> np.ndarray:
     return out
 
 
-def _buckets(text: str):
-    """Bucket numbers of the n-grams of a text, in pieces; nothing for a text without letters."""
-    for c, _ in _codes(text):
+def _folded(text: str):
+    """Lower-cased letters as code points and 32 for each run of anything else, in pieces; runs may cross pieces."""
+    blank = False
+    for i in range(0, len(text), PIECE):
+        low = text[i : i + PIECE].replace("Σ", "σ").lower()  # character by character, so that pieces make no difference
+        c = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = _is_letter(c)
-        if not letter.any():
-            continue
-        c = np.where(letter, c, 32)
-        keep = np.ones(len(c), bool)
-        keep[1:] = letter[1:] | letter[:-1]
-        c = c[keep].astype(U64) + U64(1)
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        keep[0] = letter[0] or not blank
+        blank = not letter[-1]
+        yield np.where(letter, c, 32)[keep].astype(U64)
+
+
+def _buckets(text: str):
+    """Bucket numbers of the n-grams of a text, in pieces: each holds those that end in it."""
+    tail = np.zeros(0, U64)
+    for piece in _folded(text):
+        c = np.concatenate([tail, piece + U64(1)])
         h = np.zeros(len(c), U64)
         for n in range(1, max(ORDERS) + 1):
             if len(c) < n:
                 break
             h = h[: len(c) - n + 1] * U64(0x9E3779B97F4A7C15) + c[n - 1 :]
             if n in ORDERS:
-                yield (mix(h + U64(n)) % U64(BUCKETS)).astype(np.int64)
+                yield (mix(h[max(0, len(tail) - n + 1) :] + U64(n)) % U64(BUCKETS)).astype(np.int64)
+        tail = c[-(max(ORDERS) - 1) :]
 
 
 def has_letter(text: str | None) -> bool:
@@ -72,6 +74,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return [], np.zeros((0, BUCKETS), np.float32)
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"{len(counts)} different values in {lang}: more than MAX_LANGUAGES")
     limit = F.coalesce(*[F.when(F.col("lang") == k, F.lit(int(min(1.0, train_rows / n) * (1 << 30)))) for k, n in counts.items()])
     names = sorted(counts)
     at = {k: i for i, k in enumerate(names)}
@@ -80,7 +84,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         sums = np.zeros((len(names), BUCKETS), np.int64)
         for b in batches:
             for t, k in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
-                for x in _buckets(t):
+                for x in _buckets(t) if has_letter(t) else ():
                     sums[at[k]] += np.bincount(x, minlength=BUCKETS)
         i, j = np.nonzero(sums)
         for s in range(0, len(i), 100_000):
@@ -130,15 +134,21 @@ def held_out(key: str):
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> DataFrame:
-    """docs with held_out, lang_pred and score, learned from the rows that are not held out. A null key is not held out."""
-    docs = docs.drop("held_out").withColumn("held_out", held_out(key))
+    """docs with held_out, lang_pred and score, learned from the rows that are not held out. A null key is not held out. Columns
+    with these names are replaced; for nulls, empty and long texts see predict()."""
+    docs = drop_existing(docs, ["held_out"]).withColumn("held_out", held_out(key))
     return predict(docs, train(docs.where(~F.col("held_out")), text, lang, key), text)
 
 
 def stage_lang_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents in a language that was learned; rejected are those with no letters to judge by (`und`)."""
-    columns = docs.columns
-    return identify(docs).where(F.col("lang_pred") != UNKNOWN).select(*columns)
+    """Pipeline stage: documents in a language that was learned, with that language in lang; rejected are those with no letters to
+    judge by (`und`), null and empty texts among them.
+
+    Repeated rows and null keys are judged each; an empty table, or one without any lang, gives an empty result; columns of docs
+    named like the operator's own keep their values."""
+    safe, back = shelter(docs, ["held_out", "lang_pred", "score"])
+    known = identify(safe).where(F.col("lang_pred") != UNKNOWN)
+    return back(known.withColumn("lang", F.col("lang_pred")))
 
 
 def op9_lang_id(spark, sf_dir: str) -> DataFrame:

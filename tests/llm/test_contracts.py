@@ -294,3 +294,87 @@ def test_pipeline_equals_brute_force(spark):
             windows[tuple(w[i : i + 8])].add(r["item_id"])
     hits = {k: set().union(*(windows.get(tuple(w[i : i + 8]), set()) for i in range(len(w)))) for k in ids for w in [cut(source[k])]}
     assert kept == {k for k in ids if len(hits[k]) < 2}
+
+
+def test_stages_keep_columns_and_handle_cases(spark, docs, none):
+    """Nulls, empty and long texts, repeats and clashing names go through every stage but the last."""
+    import corpus_pipeline
+
+    names = {"language_id": "score", "exact_dedup": "keep_id", "jaccard_join": "component_id", "decontaminate": "items"}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = docs.withColumn(names[name], F.lit("own"))
+        out = stage(spark, rows, DATA)
+        assert out.columns == rows.columns and {r[0] for r in out.select(names[name]).collect()} == {"own"}
+        assert stage(spark, none, DATA).count() == 0
+        ids = sorted(str(r["doc_id"]) for r in out.select("doc_id").collect())
+        want = {"language_id": "1 10 2 3 3 7 8 None", "exact_dedup": "10 2 3 5 6 7 8 9 None", "jaccard_join": "1 10 4 5 6 7 9 None", "decontaminate": "1 10 2 3 3 4 5 6 7 8 9 None"}
+        assert ids == want[name].split()
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs, DATA).count() == len(ROWS) and last(spark, none, DATA).count() == 0
+
+
+def test_language_stage_writes_what_it_found(spark, docs):
+    found = {r["doc_id"]: r["lang_pred"] for r in lang_id.identify(docs).collect()}
+    got = {r["doc_id"]: r["lang"] for r in lang_id.stage_lang_id(spark, docs, DATA).collect()}
+    assert got == {k: v for k, v in found.items() if v != "und"} and got[None] in ("de", "en")
+
+
+def brute_buckets(text):
+    out, blank, c = [], False, []
+    for ch in text.replace("Σ", "σ").lower():
+        if ch.isalpha() or not blank:
+            c.append(ord(ch) if ch.isalpha() else 32)
+        blank = not ch.isalpha()
+    most = 2**64 - 1
+
+    def mix(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & most
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & most
+        return x ^ (x >> 31)
+
+    for n in lang_id.ORDERS:
+        for i in range(len(c) - n + 1):
+            h = 0
+            for x in c[i : i + n]:
+                h = (h * 0x9E3779B97F4A7C15 + x + 1) & most
+            out.append(mix(h + n & most) % lang_id.BUCKETS)
+    return out
+
+
+def test_language_equals_brute_force(spark, monkeypatch):
+    import math
+    import zlib
+    from collections import Counter
+
+    monkeypatch.setattr(lang_id, "PIECE", 7)
+    text = "Das ist ein Haus, 12 Häuser... ΣΑΣ!  the İ end --"
+    assert Counter(np.concatenate(list(lang_id._buckets(text))).tolist()) == Counter(brute_buckets(text))
+    monkeypatch.undo()
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang").collect()
+    grams = {r["doc_id"]: Counter(brute_buckets(r["text"] or "")) for r in rows}
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in rows}
+    sums = defaultdict(Counter)
+    for r in rows:
+        if not held[r["doc_id"]] and r["lang"] and any(map(str.isalpha, r["text"] or "")):
+            sums[r["lang"]] += grams[r["doc_id"]]
+    names = sorted(sums)
+    total = {k: sum(sums[k].values()) for k in names}
+    got = {r["doc_id"]: r for r in lang_id.op9_lang_id(spark, DATA).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        g = got[r["doc_id"]]
+        assert g["held_out"] == held[r["doc_id"]]
+        if not any(map(str.isalpha, r["text"] or "")):
+            assert (g["lang_pred"], g["score"]) == ("und", 0.0)
+            continue
+        logs = [sum(n * math.log((sums[k][b] + 0.5) / (total[k] + 0.5 * lang_id.BUCKETS)) for b, n in grams[r["doc_id"]].items()) for k in names]
+        top = max(logs)
+        assert abs(g["score"] - 1 / sum(math.exp(x - top) for x in logs)) < 1e-3 and g["lang_pred"] == names[logs.index(top)]
+
+
+def test_benchmark_in_several_passes(spark, monkeypatch):
+    want = sorted(map(tuple, decontaminate.op1_decontaminate(spark, DATA).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 4000)
+    assert sorted(map(tuple, decontaminate.op1_decontaminate(spark, DATA).collect())) == want
