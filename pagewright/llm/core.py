@@ -287,8 +287,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 break
         maps.append(point)
         root = point.select("node", "root")
-        left = salted_lookup(todo.withColumnRenamed("a", "node"), root, ["node"], F.col("b")).select(F.col("root").alias("a"), "b")
-        left = salted_lookup(left.withColumnRenamed("b", "node"), root, ["node"], F.col("a")).select("a", F.col("root").alias("b"))
+        left = salted_lookup(todo.withColumnRenamed("a", "node"), root, ["node"], F.col("b")).select(F.col("node").alias("start"), F.col("root").alias("a"), "b")
+        left = salted_lookup(left.withColumnRenamed("b", "node"), root, ["node"], F.col("start")).select("a", F.col("root").alias("b"))
         before, todo = todo, cut(left.where("a <> b").distinct(), "edges")
         discard(before)
     discard(todo)
