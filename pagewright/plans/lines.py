@@ -83,9 +83,14 @@ def _merge(s, d):
 
 _PAIRS = f"(SELECT a.page, a.id AS a_id, b.id AS b_id, a AS a, b AS b FROM {B} a JOIN {B} b ON a.page = b.page AND a.id < b.id)"
 _GAP = "sqrt(power(greatest(0.0, b.x1 - a.x2, a.x1 - b.x2), 2) + power(greatest(0.0, b.y1 - a.y2, a.y1 - b.y2), 2))"
-_FONT = "least({0}.x2 - {0}.x1, {0}.y2 - {0}.y1)"
-_C = f"least({_FONT.format('a')}, {_FONT.format('b')})"
-_MERGE = f"(SELECT page, a_id, b_id FROM {_PAIRS} WHERE {_GAP} < {_C} AND greatest({_FONT.format('a')}, {_FONT.format('b')}) <= 2 * {_C} AND (abs(a.x1 + a.x2 - b.x1 - b.x2) < 6 OR abs(a.x1 - b.x1) < 3 * {_C} OR abs(a.x2 - b.x2) < 3 * {_C}))"
+_SIDES = "SELECT page, a_id, b_id, a, b, a.x2 - a.x1 AS wa, a.y2 - a.y1 AS ha, b.x2 - b.x1 AS wb, b.y2 - b.y1 AS hb, least(a.x2 - a.x1, a.y2 - a.y1, b.x2 - b.x1, b.y2 - b.y1) AS c FROM " + _PAIRS
+_MERGE = f"""(SELECT page, a_id, b_id FROM ({_SIDES}) WHERE {_GAP} < c AND greatest(least(wa, ha), least(wb, hb)) <= 2 * c
+    AND NOT (wa > 1.3 * ha AND wb * 1.3 < hb OR wb > 1.3 * hb AND wa * 1.3 < ha)
+    AND (abs(a.x1 + a.x2 - b.x1 - b.x2) < 6 OR CASE
+        WHEN wa > ha * 1.9 AND hb > wb * 1.9 OR wb > hb * 1.9 AND ha > wa * 1.9 THEN false
+        WHEN wa > ha * 1.9 OR wb > hb * 1.9 THEN abs(a.x1 - b.x1) < 3 * c OR abs(a.x2 - b.x2) < 3 * c
+        WHEN ha > wa * 1.9 OR hb > wb * 1.9 THEN abs(a.y1 - b.y1) < 3 * c OR abs(a.y2 - b.y2) < 3 * c
+        ELSE false END))"""
 
 
 def edge_components(s, d):
@@ -183,7 +188,7 @@ def _poly_sql():
 
     near = [_seg_sql(*p, *a, *b) for x, y in (("p", "q"), ("q", "p")) for p in pts[x] for a, b in edges(pts[y])]
     cond = " OR ".join(f"({m})" for m in [*meet, inside(pts["p"][0], pts["q"]), inside(pts["q"][0], pts["p"])])
-    return f"SELECT p.page, p.id AS a_id, q.id AS b_id, round(CASE WHEN {cond} THEN 0.0 ELSE least({', '.join(near)}) END, 6) AS distance FROM {Q} p JOIN {Q} q ON p.page = q.page AND p.id < q.id AND p.id % 3 = 0"
+    return f"SELECT p.page, p.id AS a_id, q.id AS b_id, round(CASE WHEN {cond} THEN 0.0 ELSE least({', '.join(near)}) END, 6) AS distance FROM {Q} p JOIN {Q} q ON p.page = q.page AND p.id < q.id"
 
 
 def _quad_features(s, d):

@@ -183,7 +183,7 @@ ORACLES = {
     "mask_union": f"SELECT label, y, x, bool_or(g % 5 = 0) AS m FROM {P} GROUP BY ALL",
     "mask_intersection": f"SELECT img, y, x FROM {P} WHERE g % 6 = 0",
     "mask_iou": f"SELECT img, round(CASE WHEN e > 0 THEN b / e END, 6) AS iou, (e - b)::BIGINT AS differ FROM (SELECT img, sum((g % 6 = 0)::INT) AS b, sum((g % 2 = 0 OR g % 3 = 0)::INT) AS e FROM {P} GROUP BY img)",
-    "mask_in_boxes": f"SELECT DISTINCT p.img, p.y, p.x FROM {P} p JOIN {B} b ON b.page % 500 = p.img AND b.id % 4 = 0 AND x * 12 BETWEEN x1 - 2 AND x2 + 2 AND y * 12 BETWEEN y1 - 2 AND y2 + 2 WHERE g % 5 = 0",
+    "mask_in_boxes": f"SELECT DISTINCT p.img, p.y, p.x FROM {P} p JOIN {B} b ON b.page % 500 = p.img AND x * 12 BETWEEN x1 - 2 AND x2 + 2 AND y * 12 BETWEEN y1 - 2 AND y2 + 2 WHERE g % 5 = 0",
     "composite": f"SELECT img, y, x, CASE WHEN g % 5 = 0 THEN 255 - g ELSE g END AS g FROM {P}",
     "nearest_fill_4dir": f"SELECT img, y, x, round(CASE WHEN g % 3 = 0 THEN coalesce(list_avg([a, b, c, e]), g::DOUBLE) ELSE g::DOUBLE END, 6) AS g FROM (SELECT *, {_FILL('x', '3 PRECEDING AND 1 PRECEDING', 'y', 'last_value')} AS a, {_FILL('x', '1 FOLLOWING AND 3 FOLLOWING', 'y', 'first_value')} AS b, {_FILL('y', '3 PRECEDING AND 1 PRECEDING', 'x', 'last_value')} AS c, {_FILL('y', '1 FOLLOWING AND 3 FOLLOWING', 'x', 'first_value')} AS e FROM {P})",
     "budget_size": f"SELECT id, CASE WHEN w * h <= 3500000 THEN w ELSE greatest(1, floor(w * sqrt(3500000.0 / (w * h)))::BIGINT) END AS w, CASE WHEN w * h <= 3500000 THEN h ELSE greatest(1, floor(h * sqrt(3500000.0 / (w * h)))::BIGINT) END AS h FROM {_SIZES}",

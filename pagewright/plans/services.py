@@ -62,17 +62,15 @@ _FIRST = lambda k: f"arg_min(path, ord) FILTER (n LIKE '%.param' AND n LIKE '%{k
 
 # --- layout -----------------------------------------------------------------------------------------------------------
 LAYOUT = """
-    SELECT doc_id, concat(left(replace(text, chr(10), ' '), 40 + CAST(doc_id % 50 AS INT)), CASE doc_id % 4 WHEN 0 THEN '、「日本。」!!' WHEN 1 THEN 'A1!?2' ELSE '。12' END) AS t,
+    SELECT doc_id, concat(replace(text, chr(10), ' '), CASE doc_id % 4 WHEN 0 THEN '、「日本。」!!' WHEN 1 THEN 'A1!?2' ELSE '。12' END) AS t,
            CAST(60 + doc_id % 240 AS DOUBLE) AS width, CAST(40 + (doc_id * 7) % 400 AS DOUBLE) AS room
     FROM {documents}"""
 _LAY = "(" + LAYOUT.replace("{documents}", "documents") + ")"
-#: What the queries lay out: the whole texts. The SQL counterparts still have the slices of LAYOUT.
-WHOLE = LAYOUT.replace("left(replace(text, chr(10), ' '), 40 + CAST(doc_id % 50 AS INT))", "replace(text, chr(10), ' ')")
 
 
 def _layout(s, d):
     once = lambda c: F.explode(F.array(c))  # noqa: E731  a generator's result is computed once, not inlined into each use
-    rows = bind(s, d, WHOLE).withColumn("cells", once(L.vertical_cells(F.col("t"))))
+    rows = bind(s, d, LAYOUT).withColumn("cells", once(L.vertical_cells(F.col("t"))))
     rows = rows.withColumn("size", once(L.vertical_size(F.size("cells"), F.col("width") * 1.3, F.col("room") * 1.5)))
     rows = rows.withColumn("capacity", once(L.per_column(F.col("room") * 1.5, F.col("size"))))
     return rows.withColumn("cols", once(L.columns(F.col("cells"), F.col("capacity"))))
@@ -90,11 +88,11 @@ _CELLS = f"""(SELECT doc_id, list(cell ORDER BY i, k) AS cells FROM (
     SELECT doc_id, i, k, CASE WHEN a AND n BETWEEN 2 AND 4 THEN run ELSE substr(run, k, 1) END AS cell
     FROM (SELECT doc_id, min(i) AS i, any_value(a) AS a, count(*) AS n, string_agg(c, '' ORDER BY i) AS run, unnest(range(1, CASE WHEN any_value(a) AND count(*) BETWEEN 2 AND 4 THEN 2 ELSE count(*) + 1 END)) AS k
         FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, a ORDER BY i) AS g FROM (
-            SELECT doc_id, i, substr(t, i, 1) AS c, regexp_matches(substr(t, i, 1), '^[0-9A-Za-z!?]$') AS a FROM (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS i FROM {_LAY})))
+            SELECT doc_id, i, c, regexp_matches(c, '^[0-9A-Za-z!?]$') AS a FROM (SELECT doc_id, unnest(cs) AS c, unnest(range(1, len(cs) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '(?s).') AS cs FROM {_LAY}))))
         GROUP BY doc_id, a, g)) GROUP BY doc_id)"""
 _CPC = lambda s: f"greatest(1, trunc(room * 1.5::DOUBLE / ({s} * 1.05::DOUBLE))::INT - 3)"
-_FIT = f"""(SELECT l.doc_id, c.cells, l.width, l.room, greatest(9, floor(coalesce(list_max(list_filter(range(9, least(trunc(room * 1.5::DOUBLE)::INT, 60) + 1), lambda s: ceil(len(c.cells) / {_CPC('s')}) * 1.1::DOUBLE * s <= width * 1.3::DOUBLE)), 9) * 0.85::DOUBLE + 0.5::DOUBLE)::INT) AS size
-    FROM {_LAY} l JOIN {_CELLS} c ON c.doc_id = l.doc_id)"""
+_FIT = f"""(SELECT doc_id, room, greatest(9, floor(coalesce(list_max(list_filter(range(9, least(trunc(room * 1.5::DOUBLE)::INT, 60) + 1), lambda s: ceil(n / {_CPC('s')}) * 1.1::DOUBLE * s <= width * 1.3::DOUBLE)), 9) * 0.85::DOUBLE + 0.5::DOUBLE)::INT) AS size
+    FROM (SELECT doc_id, width, room FROM {_LAY}) JOIN (SELECT doc_id, len(cells) AS n FROM {_CELLS}) USING (doc_id))"""
 # --- run logs ---------------------------------------------------------------------------------------------------------
 _LINE = """CASE event_id % 7
     WHEN 0 THEN concat('STEP', T, 'id=s', user_id % 4)
@@ -135,7 +133,7 @@ def _digest(s, d):
 
 
 #: A layer graph: each part is a layer of its kind, fed by earlier ones.
-LAYERS = "SELECT p_partkey AS layer, CASE p_partkey % 5 WHEN 0 THEN 'gelu' WHEN 1 THEN 'conv' WHEN 2 THEN 'norm' WHEN 3 THEN 'gemm' ELSE 'split' END AS kind, p_partkey % 3 = 0 AS masked FROM {part}"
+LAYERS = "SELECT p_partkey AS layer, CASE WHEN p_partkey % 26 = 0 THEN 'gelu' WHEN p_partkey % 13 = 0 THEN 'split' WHEN p_partkey % 5 = 1 THEN 'conv' WHEN p_partkey % 5 = 2 THEN 'norm' ELSE 'gemm' END AS kind, p_partkey % 3 = 0 AS masked FROM {part}"
 EDGES = "SELECT l_partkey AS layer, l_suppkey AS source FROM {lineitem}"
 
 
@@ -162,7 +160,7 @@ QUERIES = {
     "vertical_fit": lambda s, d: _layout(s, d).select("doc_id", "size", "capacity"),
     "kinsoku_columns": lambda s, d: _layout(s, d).select("doc_id", F.array_join(F.transform("cols", lambda c: F.array_join(c, "")), "|").alias("columns")),
     "cell_placement": _placed,
-    "horizontal_wrap": lambda s, d: bind(s, d, WHOLE).select("doc_id", L.horizontal_fit("t", F.col("width") * 1.3, F.col("room") * 1.5).alias("f")).select("doc_id", "f.size", F.array_join("f.lines", "|").alias("lines")),
+    "horizontal_wrap": lambda s, d: bind(s, d, LAYOUT).select("doc_id", L.horizontal_fit("t", F.col("width") * 1.3, F.col("room") * 1.5).alias("f")).select("doc_id", "f.size", F.array_join("f.lines", "|").alias("lines")),
     "text_colour": lambda s, d: table(s, d, "supplier").select("s_suppkey", L.text_colour(F.col("s_suppkey") % 5 == 0, F.col("s_suppkey") % 3 == 0, F.col("s_suppkey") % 256).alias("colours"), F.round(L.stroke_width(F.col("s_suppkey") % 60, F.col("s_suppkey") % 3 == 0), 6).alias("stroke")),
     "orientation": lambda s, d: table(s, d, "supplier").select("s_suppkey", F.expr("CASE WHEN s_suppkey % 3 = 0 THEN 'v' WHEN s_suppkey % 3 = 1 THEN 'h' ELSE CASE WHEN s_suppkey % 2 = 0 THEN 'v' ELSE 'h' END END").alias("orientation"), (F.abs(F.col("s_suppkey") % 7 - 3) >= 1).alias("rotated")),
     "probe_parse": lambda s, d: _log(s, d).select("line_no", "kind", F.size("kv").cast("bigint").alias("n_keys"), F.coalesce(P.value("step"), F.lit("-")).alias("step"), F.coalesce(P.value("gain"), F.lit("-")).alias("gain")),
@@ -221,5 +219,5 @@ ORACLES = {
     "ab_pivot": "SELECT user_id, max(event_id) FILTER (event_type = 'click') AS click, max(event_id) FILTER (event_type = 'view') AS view FROM events GROUP BY user_id",
     "recall_rate": "SELECT conv_id, round(avg((length(text) > 400)::INT::DOUBLE), 6) AS recall FROM conversations GROUP BY conv_id",
     "batch_throughput": "SELECT o_orderpriority, round(sum(o_totalprice) / 4, 2) AS per_page, count(*) FILTER (o_orderstatus = 'F') AS n_ok FROM orders GROUP BY o_orderpriority",
-    "graph_mask_check": "SELECT p_partkey AS layer, CASE p_partkey % 5 WHEN 0 THEN 'gelu' WHEN 1 THEN 'conv' WHEN 2 THEN 'norm' WHEN 3 THEN 'gemm' ELSE 'split' END AS kind FROM part WHERE p_partkey % 3 = 0 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem JOIN part ON p_partkey = l_suppkey WHERE p_partkey % 5 IN (0, 4) AND l_orderkey % 20 = 0)",
+    "graph_mask_check": "SELECT p_partkey AS layer, CASE WHEN p_partkey % 26 = 0 THEN 'gelu' WHEN p_partkey % 13 = 0 THEN 'split' WHEN p_partkey % 5 = 1 THEN 'conv' WHEN p_partkey % 5 = 2 THEN 'norm' ELSE 'gemm' END AS kind FROM part WHERE p_partkey % 3 = 0 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem JOIN part ON p_partkey = l_suppkey WHERE p_partkey % 13 = 0)",
 }

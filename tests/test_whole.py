@@ -4,9 +4,7 @@ import math
 import re
 
 from compare import DATA
-from pyspark.sql import functions as F
 
-from pagewright.llm import jaccard_join, pii
 from pagewright.operators import grouping as G
 from pagewright.operators import layout as L
 from pagewright.plans import catalog
@@ -20,12 +18,12 @@ def rows(spark, name, data=DATA):
 def test_graph_mask_uses_every_edge(spark, tmp_path):
     part, edges = range(1, 31), [(o, p, 1 + (o * p) % 29) for o in range(1, 23) for p in range(1, 31) if (p % 2 or o == 7) and (o * p) % 29 % 5 in (0, 1, 2, 4)]
     spark.createDataFrame([(p,) for p in part], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
-    edges = [(o, p, q) for o, p, q in edges if p % 9 or q % 5 in (1, 2, 3)]
+    edges = [(o, p, q) for o, p, q in edges if p % 9 or q % 13]
     spark.createDataFrame(edges, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
-    unsafe = {p for _, p, q in edges if q % 5 in (0, 4)}
+    unsafe = {p for _, p, q in edges if q % 13 == 0}
     masked = {p for p in part if p % 3 == 0}
     assert masked & unsafe and masked - unsafe
-    assert masked & unsafe - {p for o, p, q in edges if q % 5 in (0, 4) and o % 20 == 0}
+    assert masked & unsafe - {p for o, p, q in edges if q % 13 == 0 and o % 20 == 0}
     assert {r[0] for r in rows(spark, "graph_mask_check", str(tmp_path))} == masked - unsafe
 
 
@@ -116,30 +114,3 @@ def test_layout_of_whole_texts(spark, tmp_path):
     got = {r[0]: r[1:] for r in rows(spark, "horizontal_wrap", str(tmp_path))}
     assert {i: got[i] for i in wrapped} == wrapped and {s for s, _ in wrapped.values()} > {9}
     assert all(got[i][1].replace("|", "") == t.replace("\n", " ") + got[i][1].replace("|", "")[len(t):] for i, t in docs)
-
-
-def test_disclosing_terms_are_marked_everywhere(spark):
-    far = " ".join(f"w{k}" for k in range(30))
-    rows = [(i, f"u{i} jane smithson {far} jane@corp.com and smithson again v{i}") for i in range(4)]
-    rows += [(10 + i, f"note {i} {far} x+smithson1 about Smithson") for i in range(1)] + [(None, "smithson alone"), (20, None)]
-    rows += [(30 + i, f"note {far} common {i}") for i in range(400)]
-    rows += [(500 + i, "bob@corp.com copied onlyhere") for i in range(9)]
-    rows += [(600 + i, f"text {i} a{i} b{i} -- regards quillon zed@corp.com") for i in range(5)]
-    found = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = {r["doc_id"]: r["sanitised"] or "" for r in pii.sanitise(found).select("doc_id", "sanitised").collect()}
-    assert len(got) == len(rows) and found.count() == len(rows)
-    assert not any("smithson" in got[i].lower().replace("smithson1", "") for i in [0, 1, 2, 3, 10, None])
-    assert "smithson1" in got[10] and "w3" in got[0] and "onlyhere" in got[500] and "quillon" not in got[600]
-
-
-def test_words_outside_of_base_spans(spark):
-    texts = ["ab4111 1111 1111 1111cd ef", "to a@b.c, x+1 (743) 555-3824y z", "none"]
-    df = pii.find_base(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    got = [set(r["own"] or []) for r in pii.vocabulary(df, "text").select("own").collect()]
-    assert got == [{"ef"}, {"to", "x", "z"}, set()] and df.where(F.size("base") > 0).count() == 2
-
-
-def test_stage_keeps_null_keys(spark):
-    text = "the quick brown fox jumps over the lazy dog again and again today"
-    docs = spark.createDataFrame([(1, text), (2, text), (None, text), (None, text)], "doc_id long, text string")
-    assert sorted(str(r["doc_id"]) for r in jaccard_join.stage_jaccard(spark, docs, DATA).collect()) == ["1", "None", "None"]
