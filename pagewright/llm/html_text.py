@@ -6,9 +6,9 @@ and its share of link text speak for either (unary potentials), and so does the
 Sum-product message passing, once upward and once downward, gives the exact marginal of every node, and the text
 of nodes that are more likely content than not is the page's text.
 
-The potentials are counted on labelled pages. By default those are made here (labelled_pages): TRAIN_PAGES layouts with
-articles, menus, adverts, side columns, notices, forms and reader comments, in which each element carries its label.
-Training takes at most that many labelled pages; extraction takes all pages, whole.
+The potentials are counted on labelled pages. By default those are made here: TRAIN_PAGES layouts with articles, menus, adverts,
+side columns, notices, forms and reader comments (labelled_pages) and a third as many whose content stands in the body itself
+(plain_pages); each element carries its label. Training takes no others; extraction takes all pages, whole.
 """
 
 from __future__ import annotations
@@ -25,19 +25,20 @@ from pyspark.sql import DataFrame
 from .core import map_batches
 
 TRAIN_PAGES = 1500
-#: Elements without content, elements whose content is not markup, elements within a line of text.
+#: Elements without content, elements whose content is not text of the page, elements within a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noframes xmp svg math select object canvas".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Elements that hold one stretch of text.
-LINES = frozenset("p li h1 h2 h3 h4 h5 h6 td th tr dt dd pre blockquote".split())
+RAW = frozenset("script style textarea title iframe noframes select".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover semantics svg g text tspan object canvas noscript template".split())
+#: Elements that hold one stretch of text; #text is text that stands in the body itself.
+OUTER = frozenset(["#root", "html", "body"])
+LINES = frozenset("#text p li h1 h2 h3 h4 h5 h6 td th tr dt dd pre blockquote".split())
 #: Start tags that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 #: Start tags that end an open element of these kinds, looked for up to the nearest of the others.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</([a-zA-Z][^\s>]*)[^>]*>|<[!?/][^>]*>", re.S)
 LOOSE = re.compile(r"<([a-zA-Z][^\s/>]*)([^>]*)>")
-ATTRIBUTE = re.compile(r"""\b(class|id|role|data-y)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+ATTRIBUTE = re.compile(r"""\b(class|id|role|data-y|data-t)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 PARTIAL = re.compile(r"<[a-zA-Z/!?][^<>]*\Z", re.S)
 NAME = re.compile(r"[a-z]+")
 BLANK = re.compile(r"\s+")
@@ -47,7 +48,7 @@ class Page:
     """The block tree of a page, parents before children, and its pieces of text in order."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.names, self.label = [-1], ["#root"], [()], ["0"]
+        self.parent, self.tag, self.names, self.label, self.loose = [-1], ["#root"], [()], ["0"], ["0"]
         self.pieces: list[tuple[int, str, bool]] = []  # node, text, whether it stands in a link; node -1: a break in the line
         self._read(source)
         n = len(self.parent)
@@ -57,19 +58,22 @@ class Page:
                 own[i] += k
                 links[i] += k * link
         self.own = list(own)
-        kids, titled = [0] * n, [False] * n
+        kids, titled, bare = [0] * n, [False] * n, [False] * n
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
             own[p] += own[i]
             links[p] += links[i]
             kids[p] += self.tag[i] == "p"
             titled[p] |= self.tag[i] == "h1"
+            bare[p] |= self.tag[i] == "#text"
+        self.bare = bare
         self.size, self.links, self.paragraphs, self.titled = own, links, kids, titled
 
     def _read(self, s: str) -> None:
         stack = [0]
         link = 0
         at, end = 0, len(s)
+        unclosed = set()  # tags that do not close any more
         while at < end:
             m = TOKEN.search(s, at)
             stop = m.start() if m else end
@@ -80,16 +84,22 @@ class Page:
                     if (loose := LOOSE.search(text)):  # a tag with an open quote
                         text = text[: loose.start()] + " " + LOOSE.sub(" ", text[loose.start() :])
                 if text:
-                    self.pieces.append((stack[-1], htmllib.unescape(text), link > 0))
+                    text = htmllib.unescape(text)
+                    if self.tag[stack[-1]] in OUTER and not text.isspace():
+                        self._open_body(stack)
+                        self._node(stack, "#text", (), self.loose[stack[-1]], "0")
+                    self.pieces.append((stack[-1], text, link > 0))
             if not m:
                 break
             at = m.end()
             if m[1]:
                 tag = m[1].lower()
                 if tag in RAW:
-                    if not m[2].endswith("/"):
-                        close = re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(s, at)
-                        at = close.end() if close else end
+                    if not m[2].endswith("/"):  # one that is never closed holds what stands before the next tag
+                        close = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}[^>]*>", re.I).search(s, at)
+                        if not close:
+                            unclosed.add(tag)
+                        at = close.end() if close else nxt if (nxt := s.find("<", at)) >= 0 else end
                     self.pieces.append((-1, "", False))
                 elif tag in INLINE:
                     link += tag == "a"
@@ -112,7 +122,7 @@ class Page:
                             break
 
     def _open(self, stack: list[int], tag: str, attributes: str) -> None:
-        if tag in ENDS_P and self.tag[stack[-1]] == "p":
+        if self.tag[stack[-1]] == "#text" or tag in ENDS_P and self.tag[stack[-1]] == "p":
             stack.pop()
         kinds, walls = SIBLINGS.get(tag, (None, None))
         if kinds:
@@ -122,20 +132,34 @@ class Page:
                 if self.tag[stack[k]] in kinds:
                     del stack[k:]
                     break
+        if tag not in ("html", "head", "body"):
+            self._open_body(stack)
         found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes else {}
+        names = tuple(NAME.findall(" ".join(found.get(k, "") for k in ("class", "id", "role")).lower()))
+        self._node(stack, tag, names, found.get("data-y", "0"), found.get("data-t", "0"))
+
+    def _open_body(self, stack: list[int]) -> None:
+        """The body that a page may leave out."""
+        if self.tag[stack[-1]] in ("#root", "html"):
+            self._node(stack, "body", (), "0", "0")
+
+    def _node(self, stack: list[int], tag: str, names: tuple, label: str, loose: str) -> None:
         self.parent.append(stack[-1])
         self.tag.append(tag)
-        self.names.append(tuple(NAME.findall(" ".join(found.get(k, "") for k in ("class", "id", "role")).lower())))
-        self.label.append(found.get("data-y", "0"))
+        self.names.append(names)
+        self.label.append(label)
+        self.loose.append(loose)
         self.pieces.append((-1, "", False))
         stack.append(len(self.parent) - 1)
 
     def features(self, i: int) -> list[tuple]:
         n, total = self.size[i], max(1, self.size[0])
         share = self.links[i] / n if n else 0
-        out = [("links", round(share * 4) if n else 5), *[("name", x) for x in self.names[i]]]
+        kind = self.tag[i] if self.tag[i] in OUTER else ""  # the outer elements hold all of the page: their amounts speak otherwise
+        out = [(f"{kind}links", round(share * 4) if n else 5), *[("name", x) for x in self.names[i]]]
         if self.tag[i] not in LINES:  # in lines of text the amount says little, and there are many of them
-            out += [("size", min(8, n.bit_length() // 2)), ("share", round(4 * n / total)), ("paragraphs", min(3, self.paragraphs[i])), ("titled", self.titled[i])]
+            counts = {"size": min(8, n.bit_length() // 2), "share": round(4 * n / total), "paragraphs": min(3, self.paragraphs[i]), "titled": self.titled[i], "bare": self.bare[i]}
+            out += [(kind + k, v) for k, v in counts.items()]
         return out
 
     def text(self, content) -> str:
@@ -260,9 +284,57 @@ def labelled_pages(count: int = TRAIN_PAGES, seed: int = 7) -> list[str]:
     return out
 
 
+def plain_pages(count: int = TRAIN_PAGES // 3, seed: int = 11) -> list[str]:
+    """Made pages whose content stands in the body itself: paragraphs, lists, tables or bare text, down to one line; some with menus,
+    adverts and footers around it. data-y as in labelled_pages; data-t: the same for the text of the body."""
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("aeioustrnlmdcp") for _ in range(r.randint(1, 9))) for _ in range(400)]
+    words = lambda a, b: " ".join(r.choices(vocabulary, k=r.randint(a, b)))
+    link = lambda: f'<a href="/x">{words(1, 3)}</a>'
+    line = lambda: words(1, r.choice([2, 6, 20, 90])) + (f" <b>{words(1, 4)}</b> " + words(1, 5) if r.random() < 0.3 else "") + (" " + link() + " " + words(1, 9) if r.random() < 0.3 else "")
+    menu = lambda y: "<ul data-y=0>" + "".join(f"<li data-y=0>{link()}</li>" for _ in range(r.randint(2, 7))) + "</ul>"
+    around = [
+        lambda: f"<nav data-y=0>{menu(0)}</nav>",
+        lambda: f"<header data-y=0>{menu(0)}</header>",
+        lambda: f"<footer data-y=0><p data-y=0>{words(2, 14)}</p></footer>",
+        lambda: f"<footer data-y=0>&copy; {words(2, 9)}</footer>",
+        lambda: f'<div data-y=0 class="{r.choice(["ad", "advert", "cookie", "notice", "share"])}">{words(2, 14)}</div>',
+        lambda: f'<aside data-y=0 class="sidebar"><h3 data-y=0>{words(1, 3)}</h3>{menu(0)}</aside>',
+        lambda: f"<form data-y=0><p data-y=0>{words(2, 7)}</p><button data-y=0>{words(1, 2)}</button></form>",
+    ]
+    blocks = [
+        lambda: f"<p data-y=1>{line()}</p>",
+        lambda: f"<p data-y=1>{line()}</p>",
+        lambda: f"<h2 data-y=1>{words(1, 7)}</h2>",
+        lambda: "<ul data-y=1>" + "".join(f"<li data-y=1>{line()}</li>" for _ in range(r.randint(1, 4))) + "</ul>",
+        lambda: f"<table data-y=1><tr data-y=1><td data-y=1>{words(1, 9)}</td><td data-y=1>{words(1, 9)}</td></tr></table>",
+        lambda: f"<blockquote data-y=1><p data-y=1>{line()}</p></blockquote>",
+        lambda: f"<pre data-y=1>{line()}</pre>",
+    ]
+    out = []
+    for _ in range(count):
+        kind = r.randrange(4)
+        body = f"<h1 data-y=1>{words(1, 9)}</h1>" if kind < 3 and r.random() < 0.4 else ""
+        if kind == 0:
+            body += "".join(r.choice(blocks)() for _ in range(r.choice([1, 1, 2, 4, 9])))
+        elif kind == 1:
+            body += f"<div data-y=1>{''.join(r.choice(blocks)() for _ in range(r.choice([1, 1, 2, 4])))}</div>"
+        elif kind == 2:
+            tag = r.choice(["div", "article", "main", "section"])
+            body += f"<{tag} data-y=1>{line()}</{tag}>"
+        else:
+            body = line()
+        some = [a() for a in r.sample(around, r.choice([0, 0, 1, 2, 3]))]
+        cut = r.randint(0, len(some))
+        page = "".join(some[:cut]) + body + "".join(some[cut:])
+        head = f"<head data-y=0><title>{words(1, 6)}</title></head>" if r.random() < 0.5 else ""
+        out.append(f"<html data-y=0>{head}<body data-y=1 data-t=1>{page}</body></html>")
+    return out
+
+
 @functools.lru_cache(1)
 def default_model() -> Model:
-    return Model([Page(x) for x in labelled_pages()])
+    return Model([Page(x) for x in labelled_pages() + plain_pages()])
 
 
 def extract(source: str | None, model: Model) -> str:
@@ -275,7 +347,7 @@ def extract(source: str | None, model: Model) -> str:
 def extract_pages(pages: DataFrame, html: str = "html", model: Model | None = None) -> DataFrame:
     """pages with text (the main text, empty if there is none) and n_chars (its code points).
 
-    A null or empty page, or one without markup, has an empty text. Character references are decoded; white space within a
+    A null or empty page has an empty text; text without markup is the text of a body. Character references are decoded; white space within a
     block becomes one blank; blocks are joined by one blank in page order. Text inside scripts, styles, titles and other
     elements that do not hold markup is no text. Broken markup is read as far as it goes. Every repeated row is read. Columns named text or
     n_chars are replaced; an empty table gives an empty result.

@@ -378,3 +378,56 @@ def test_benchmark_in_several_passes(spark, monkeypatch):
     want = sorted(map(tuple, decontaminate.op1_decontaminate(spark, DATA).collect()))
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 4000)
     assert sorted(map(tuple, decontaminate.op1_decontaminate(spark, DATA).collect())) == want
+
+
+def other_pages(count, seed=5):
+    """(html, words of the article) of pages by a design of their own: div soup, two columns, blog, forum, bare documents."""
+    r = np.random.default_rng(seed)
+    number = iter(range(10**9))
+    say = lambda k: " ".join(f"w{next(number)}" for _ in range(int(r.integers(1, k + 1))))
+    out = []
+    for i in range(count):
+        body, want = [], []
+
+        def p(k=60, tag="p", body=body, want=want):
+            t = say(k)
+            want.extend(t.split())
+            return f"<{tag}>{t}</{tag}>"
+
+        nav = "<ul>" + "".join(f'<li><a href="/{k}">{say(2)}</a></li>' for k in range(int(r.integers(2, 8)))) + "</ul>"
+        kind = i % 6
+        text = lambda n=7: "".join(p() if r.random() < 0.8 else p(8, "h3") if r.random() < 0.5 else "<ul>" + p(12, "li") + p(12, "li") + "</ul>" for _ in range(int(r.integers(1, n))))  # noqa: E731, B023
+        foot = f'<div id="footer"><p>{say(9)}</p><a href="/p">{say(2)}</a></div>'
+        if kind == 0:
+            page = f'<div class="site-header"><a href="/">{say(2)}</a></div><div id="menu">{nav}</div><div class="post-body">{p(9, "h1")}{text()}</div><div class="sidebar widget">{nav}</div>{foot}'
+        elif kind == 1:
+            page = f'<header><nav>{nav}</nav></header><main><article>{p(9, "h1")}{text(12)}</article><section class="comments"><h4>{say(2)}</h4><div class="comment"><p>{say(40)}</p></div></section></main><footer>{say(8)}</footer>'
+        elif kind == 2:
+            page = f'{p(9, "h1")}{text()}<footer><p>{say(12)}</p></footer>'
+        elif kind == 3:
+            page = f'<div class="container"><div class="entry-content">{text(5)}</div><div class="ad">{say(14)}</div><form><p>{say(5)}</p><input><button>{say(1)}</button></form></div><div class="cookie-notice">{say(20)}<button>{say(1)}</button></div>'
+        elif kind == 4:
+            page = text(4)
+        else:
+            t = say(50)
+            want.extend(t.split())
+            page = f"<nav>{nav}</nav>{t}"
+        out.append((f"<!doctype html><html><head><title>{say(5)}</title><style>p{{}}</style></head><body>{page}<script>var a = '<p>no</p>'</script></body></html>", want))
+    return out
+
+
+def test_html_on_pages_of_another_design():
+    model = html_text.default_model()
+    hit = found = wanted = 0
+    for source, want in other_pages(300):
+        got = html_text.extract(source, model).split()
+        hit, found, wanted = hit + len(set(got) & set(want)), found + len(got), wanted + len(want)
+        assert got or not want, source
+    assert 2 * hit / (found + wanted) >= 0.95, (hit, found, wanted)
+
+
+def test_html_without_wrappers():
+    model = html_text.default_model()
+    cases = {"<html><body><p>Hello world, this is a page.</p></body></html>": "Hello world, this is a page.", "<div><p>Short.</p></div>": "Short.", "<body>Only bare &amp; short</body>": "Only bare & short", "<b>in</b> <i>line</i>": "in line", "plain text": "plain text", "<ul><li>one</li><li>two</li></ul>": "one two", "<nav><ul><li><a href=1>a</a></li></ul></nav>": "", "<article>a <math><mi>x</mi></math> <object>b<p>c</p></article>": "a x b c", "<p>a<script>x<p>b": "a b"}
+    for source, want in cases.items():
+        assert html_text.extract(source, model) == want, source
