@@ -2,8 +2,8 @@
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers, each kind found from left to right.
 
-Information-theoretic sanitisation looks at the words of each document with a protected entity (a base span's text), outside of
-base spans. Over the whole corpus, a term t discloses an entity e by PMI(t, e) = log2(p(t, e) / (p(t) p(e))) bits of the
+Information-theoretic sanitisation protects the value of each base span, its kind (that a document has such data at all) and the
+domain of an e-mail address. It looks at the words of each document with a protected entity, outside of base spans. Over the whole corpus, a term t discloses an entity e by PMI(t, e) = log2(p(t, e) / (p(t) p(e))) bits of the
 IC(e) = -log2 p(e) bits that e carries, with probabilities over documents. A term that discloses at least GENERALISE of them and
 shares at least SUPPORT different texts with e (exact copies count as one) becomes spans of kind `term` wherever it occurs, in
 any text: replaced by a general word, or removed from REMOVE on.
@@ -112,12 +112,19 @@ def outside(t: Column, base: Column) -> Column:
     return F.aggregate(base, zero, step, lambda a: F.concat(a["out"], piece(a["at"], F.length(t))))
 
 
+def protected(b: Column) -> Column:
+    """What a base span protects: its value, its kind (that there is such data at all) and, of an e-mail address, its domain."""
+    value = F.lower(b["value"])
+    domain = F.when(b["kind"] == "email", F.concat(F.lit("domain:"), F.substring_index(value, "@", -1)))
+    return F.array_compact(F.array(F.concat_ws(":", b["kind"], value), F.concat(F.lit("kind:"), b["kind"]), domain))
+
+
 def vocabulary(found: DataFrame, text: str) -> DataFrame:
     """(class, entities, words, own) of each row: a hash of its text, its distinct entities and words, and its words outside of base
     spans, where it has any spans."""
     t = F.coalesce(F.col(text), F.lit(""))
     distinct = lambda c, pattern: F.array_distinct(F.transform(F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), 0)), lambda w: F.lower(w)))
-    entities = F.array_distinct(F.transform("base", lambda b: F.concat_ws(":", b["kind"], F.lower(b["value"]))))
+    entities = F.array_distinct(F.flatten(F.transform("base", protected)))
     own = F.when(F.size("base") > 0, distinct(outside(t, F.col("base")), WHOLE))
     return found.select(F.xxhash64(t).alias("class"), entities.alias("entities"), distinct(t, TERM).alias("words"), own.alias("own"))
 
