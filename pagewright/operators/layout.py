@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 TRIM, LEAST, MOST, SCALE = 3, 9, 60, 0.85
-#: Characters that may not start a column: closing and non-starting marks of the Unicode line-breaking classes CL, CP, NS and EX.
+#: Characters that may not start a column or line.
 NO_START = "!),.:;?]}、。，．・：；？！」』】〕〉》）］｝ーゝゞ々…"
-#: Marks that stand on their side in vertical text.
+#: Marks that stand on their side in vertical text.
 SIDEWAYS = "()[]{}<>-~…ー―「」『』（）〈〉《》【】"
 
 

@@ -76,3 +76,21 @@ def tombstone(report: Column, step: Column, time: Column) -> Column:
 
 def belongs(name: Column, report: Column) -> Column:
     return (name == report) | (name.startswith(F.concat(F.regexp_replace(report, r"\.txt$", ""), F.lit("_crash"))) & name.endswith(".pb"))
+
+
+def ordered_digest(rows: DataFrame, key: str, order: str, data: str) -> DataFrame:
+    """(key, digest): SHA-256 over `order:data` of a key's rows in order."""
+    r = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(data).alias("d")))).alias("r"))
+    return r.select(key, F.sha2(F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["o"].cast("string"), x["d"])), ","), 256).alias("digest"))
+
+
+def weighted_ratio(times: DataFrame, key: str, round_: list[str]) -> DataFrame:
+    """(key, ratio): time b over time a, each summed over the kinds of a round, a kind as often as the round has it. times: (key, kind, a, b)."""
+    weight = F.broadcast(times.sparkSession.createDataFrame([(k,) for k in round_], "kind string").groupBy("kind").agg(F.count(F.lit(1)).alias("w")))  # a few rows
+    rows = times.join(weight, "kind").groupBy(key)
+    return rows.agg(F.round(F.try_divide(F.sum(F.col("b") * F.col("w")), F.sum(F.col("a") * F.col("w"))), 6).alias("ratio"))
+
+
+def batch_throughput(runs: DataFrame) -> DataFrame:
+    """(depth, per_page, n_ok) of runs (depth, ms, ok): `depth` pages are done at a time."""
+    return runs.groupBy("depth").agg((F.sum("ms") / F.col("depth")).alias("per_page"), F.count_if("ok").alias("n_ok"))

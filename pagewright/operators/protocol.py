@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.compat import all_digits, blank, ordered_text, utrim
@@ -50,11 +51,20 @@ def join_replies(queries: DataFrame, parsed: DataFrame, key: str = "page") -> Da
     return queries.join(got, [key, "i"], "left").withColumn("translated", F.when(F.coalesce(F.col("text"), F.lit("")) == "", F.col("source")).otherwise(F.col("text"))).drop("text")
 
 
+def is_pattern(pattern: str) -> bool:
+    """Whether Java's regular expressions, which the rows meet, can read it."""
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError:
+        return False
+    return True
+
+
 def filtered(source: Column, target: Column, pattern: str | None = None) -> Column:
-    """Whether a text is unusable: blank, digits only, hit by the pattern, or the source but for case."""
+    """Whether a text is unusable: blank, digits only, hit by the pattern, or the source but for case. A pattern that is none is no rule."""
     t = utrim(target)
     out = (t == "") | all_digits(t)
-    if pattern is not None:
+    if pattern is not None and is_pattern(pattern):
         out = out | t.rlike(pattern)
     return out | (F.lower(utrim(source)) == F.lower(t))
 
@@ -82,18 +92,20 @@ def collect_replies(lines: DataFrame, key: str = "page") -> DataFrame:
     return lines.groupBy(key).agg(ordered_text([F.col("i"), F.col("k")], F.col("line"), "\n").alias("reply"))
 
 
-def chunked(rows: DataFrame, size: int, *order: str) -> DataFrame:
-    """rows with chunk and place: consecutive numbers over the given order, `size` rows a chunk, without a single-task sort.
+def chunked(rows: DataFrame, size: int, *order: str, ranges: int = 64) -> DataFrame:
+    """rows with chunk and place: consecutive numbers over the given order (a number first), `size` rows a chunk, without a single-task sort.
 
-    Range partitions are counted first; a row's number is its place in its partition plus the rows before the partition."""
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-    part = F.shiftrightunsigned("__id", 33)
-    counts = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.map_from_entries(F.collect_list(F.struct("__part", "__n"))).alias("m")).first()["m"] or {}
+    Ranges of the first column are counted; a row's number is its place in its range plus the rows before the range. A row's range
+    follows from its value alone, so neither lost tasks nor other partitions change a number; rows that tie in the whole order may swap."""
+    edges = rows.agg(F.percentile_approx(order[0], [i / ranges for i in range(1, ranges)])).first()[0] or []
+    edges = sorted({e for e in edges if e is not None})
+    part = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col(order[0]))) if edges else F.lit(0)
+    placed = rows.withColumn("__part", F.coalesce(part, F.lit(0)))
+    total = {r["__part"]: r["n"] for r in placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `ranges` rows
     before, at = {}, 0
     for p in sorted(total):
         before[p] = at
         at += total[p]
-    start = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[part] if before else F.lit(0)
-    number = start + F.col("__id").bitwiseAND((1 << 33) - 1)
-    return placed.withColumns({"chunk": F.floor(number / size).cast("bigint"), "place": (number % size).cast("bigint")}).drop("__id")
+    start = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])[F.col("__part")] if before else F.lit(0)
+    number = start + F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return placed.withColumn("__at", number).withColumns({"chunk": F.floor(F.col("__at") / size).cast("bigint"), "place": (F.col("__at") % size).cast("bigint")}).drop("__part", "__at")

@@ -18,6 +18,7 @@ RULES = [
 ]
 RULE_SCHEMA = "provider string, ord int, pattern string, send_temp boolean, t_min double, t_max double, max_tokens_field string, off map<string, string>, on map<string, string>"
 RETIRED = [("alpha", "r0", "r1"), ("beta", "think-old", "think-new")]
+#: The fields that turn thinking on or off.
 THINKING_KEYS = ["reasoning_effort", "reasoning", "thinking", "enable_thinking"]
 
 
@@ -26,8 +27,8 @@ def rule_lookup(requests: DataFrame, rules: DataFrame) -> DataFrame:
     holds always; no rule: temperature only. The rule table is fixed reference data and is broadcast."""
     m = F.lower(utrim(F.col("model")))
     r = F.broadcast(rules.withColumnRenamed("provider", "rule_provider"))
-    hits = requests.join(r, (F.col("provider") == F.col("rule_provider")) & (F.col("pattern").isNull() | F.regexp_like(m, F.coalesce("pattern", F.lit("")))), "left")
-    first = hits.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy("ord"))).where("__n = 1").drop("__n", "rule_provider")
+    hits = requests.withColumn("__row", F.monotonically_increasing_id()).join(r, (F.col("provider") == F.col("rule_provider")) & (F.col("pattern").isNull() | F.regexp_like(m, F.coalesce("pattern", F.lit("")))), "left")
+    first = hits.withColumn("__n", F.row_number().over(Window.partitionBy("__row").orderBy("ord"))).where("__n = 1").drop("__n", "__row", "rule_provider")
     return first.withColumns({"send_temp": F.coalesce("send_temp", F.lit(True)), "t_min": F.coalesce("t_min", F.lit(0.0)), "t_max": F.coalesce("t_max", F.lit(2.0)), "max_tokens_field": F.coalesce("max_tokens_field", F.lit("max_tokens"))})
 
 
@@ -89,3 +90,47 @@ def resolve_roles(files: DataFrame) -> DataFrame:
     rows = files.groupBy("id").agg(ocr.alias("ocr"), first("dbnet").alias("detector"), first("aot").alias("inpainter"), first("manga_seg").alias("seg_a"), first("cartoonseg").alias("seg_b"))
     ready = F.col("ocr").isNotNull() & F.col("detector").isNotNull() & F.col("inpainter").isNotNull()
     return rows.select("id", ready.alias("ready"), *[F.when(ready, F.col(c)).alias(c) for c in ("ocr", "detector", "inpainter", "seg_a", "seg_b")])
+
+
+def provider_of(requests: DataFrame, providers: DataFrame) -> DataFrame:
+    """requests (provider) with the provider's row; an unknown or null one gets the first. providers: (ord, provider, ...), fixed reference data."""
+    first = providers.orderBy("ord").first()
+    names = [c for c in providers.columns if c != "provider"]
+    rows = requests.join(F.broadcast(providers.withColumnRenamed("provider", "known")), F.col("provider") == F.col("known"), "left")
+    missing = F.col("known").isNull()
+    return rows.withColumns({**{c: F.when(missing, F.lit(first[c])).otherwise(F.col(c)) for c in names}, "provider": F.coalesce("known", F.lit(first["provider"]))}).drop("known")
+
+
+def endpoint(editable: Column, base: Column, preset_chat: Column, preset_models: Column) -> tuple[Column, Column]:
+    """Addresses for chat and for the model list: from the user's base where the provider allows one, else the preset ones."""
+    return F.when(editable, chat_url(base)).otherwise(preset_chat), F.when(editable, models_url(base)).otherwise(preset_models)
+
+
+def list_models(replies: DataFrame) -> DataFrame:
+    """(id, models, last_error) of replies (id, source, url, key, status, body): sorted model ids, none without a source, address or key;
+    a failed call or an unreadable body gives none and a reason (of a body at most 300 characters)."""
+    asked = (F.col("source") != "none") & ~F.coalesce(utrim(F.col("url")) == "", F.lit(True)) & ~F.coalesce(utrim(F.col("key")) == "", F.lit(True))
+    open_ai = F.transform(F.from_json("body", "data array<struct<id: string>>")["data"], lambda m: m["id"])
+    gemini = F.from_json("body", "models array<struct<name: string, supportedGenerationMethods: array<string>>>")["models"]
+    gemini = F.transform(F.filter(gemini, lambda m: F.array_contains(m["supportedGenerationMethods"], "generateContent")), lambda m: F.substring_index(m["name"], "/", -1))
+    found = F.array_sort(F.when(F.col("source") == "openai", open_ai).when(F.col("source") == "gemini", gemini))
+    ok = F.col("status").between(200, 299)
+    error = F.when(~ok, F.concat(F.lit("HTTP "), F.col("status").cast("string"), F.lit(" "), F.left("body", F.lit(300)))).when(found.isNull(), F.lit("no list in the body"))
+    none = F.array().cast("array<string>")
+    return replies.select("id", F.when(asked & ok, F.coalesce(found, none)).otherwise(none).alias("models"), F.when(asked, error).alias("last_error"))
+
+
+def request_body(model: Column, temperature: Column, thinking: Column, prompt: Column) -> Column:
+    """A request as JSON; null fields, nested ones too, are left out. thinking: a map, or null."""
+    inner = F.map_filter(thinking, lambda k, v: v.isNotNull())
+    return F.to_json(F.struct(model.alias("model"), temperature.alias("temperature"), inner.alias("thinking"), F.array(F.struct(F.lit("user").alias("role"), prompt.alias("content"))).alias("messages")))
+
+
+def with_retry(requests: DataFrame, send, refused: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(replies, refused keys): requests (retry_key, ...) are sent with thinking fields unless their key is known to refuse them; those
+    that are refused are sent once more without. send(rows with drop_thinking) gives rows with `refused`."""
+    known = requests.sparkSession.createDataFrame([], "retry_key string") if refused is None else refused
+    first = send(requests.join(known, "retry_key", "left_anti").withColumn("drop_thinking", F.lit(False)))
+    again = first.where("refused").select(*requests.columns).unionByName(requests.join(known, "retry_key", "left_semi").select(*requests.columns))
+    out = first.where("not refused").unionByName(send(again.withColumn("drop_thinking", F.lit(True))))
+    return out, known.unionByName(first.where("refused").select("retry_key")).distinct()

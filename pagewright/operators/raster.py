@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def grey(r: Column, g: Column, b: Column) -> Column:
@@ -112,25 +117,50 @@ def fill_from_sides(pixels: DataFrame, mask: str, value: str, reach: int) -> Dat
 
 
 def components8(mask: DataFrame, size: int) -> DataFrame:
-    """(img, y, x, comp): 8-connected components of (img, y, x), named by their least y * size + x.
-
-    Label propagation inside one array per image: size * size places, folded until labels cannot change.
-    """
-    at = F.col("y") * size + F.col("x")
-    rows = mask.groupBy("img").agg(F.collect_set(at).alias("on"))
-    cells = F.sequence(F.lit(0), F.lit(size * size - 1))
-    start = F.transform(cells, lambda i: F.when(F.array_contains("on", i), i))
-
-    def sweep(labels, _):
-        def best(i):
-            near = [F.when((F.floor(i % size) + dx).between(0, size - 1) & (F.floor(i / size) + dy).between(0, size - 1), F.get(labels, (i + dy * size + dx).cast("int"))) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-            return F.when(F.get(labels, i.cast("int")).isNotNull(), F.least(*near))
-
-        return F.transform(cells, best)
-
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(size * size // 2)), start, sweep)
-    found = rows.select("img", F.posexplode(done).alias("at", "comp")).where("comp is not null")
-    return found.select("img", F.floor(F.col("at") / size).cast("int").alias("y"), (F.col("at") % size).cast("int").alias("x"), "comp")
+    """(img, y, x, comp): 8-connected components of (img, y, x), named by their least y * size + x. An image is one array and one
+    row, searched once: time and memory follow its marked pixels."""
+
+    def label(on: list[int]) -> list[int]:
+        out = dict.fromkeys(on, -1)
+        for start in sorted(out):
+            if out[start] >= 0:
+                continue
+            out[start], todo = start, [start]
+            while todo:
+                p = todo.pop()
+                x = p % size
+                for q in (p + dy + dx for dy in (-size, 0, size) for dx in (-1, 0, 1) if 0 <= x + dx < size):
+                    if out.get(q) == -1:
+                        out[q] = start
+                        todo.append(q)
+        return [out[p] for p in on]
+
+    def run(batches):
+        for b in batches:
+            on = b.column("on")
+            flat = pa.array([c for cells in on.to_pylist() for c in label(cells)], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("img"), on, pa.ListArray.from_arrays(pc.subtract(on.offsets, on.offsets[0]), flat)], names=["img", "on", "comp"])
+
+    rows = mask.groupBy("img").agg(F.collect_set((F.col("y") * size + F.col("x")).cast("int")).alias("on"))
+    found = rows.mapInArrow(run, StructType([rows.schema["img"], *StructType.fromDDL("on array<int>, comp array<int>").fields]))
+    cells = found.select("img", F.explode(F.arrays_zip("on", "comp")).alias("c"))
+    return cells.select("img", F.floor(F.col("c.on") / size).cast("int").alias("y"), (F.col("c.on") % size).alias("x"), F.col("c.comp").alias("comp"))
+
+
+def component_boxes(components: DataFrame) -> DataFrame:
+    """(img, comp, x0, y0, x1, y1, n): the upright box of each component, ends exclusive."""
+    return components.groupBy("img", "comp").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"), F.count(F.lit(1)).alias("n"))
+
+
+def dilation_radius(width: float) -> int:
+    """Half the width, rounded half up, at least 1."""
+    return max(1, math.floor(width / 2 + 0.5))
+
+
+def strip(pixels: DataFrame, margin: int) -> DataFrame:
+    """(img, y, x, v) of strips of grey levels, -1 to 1, with a white margin to the right; a row of a strip is one array."""
+    rows = pixels.groupBy("img", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "g"))), lambda p: (p["g"] - 127.5) / 127.5).alias("v"))
+    return rows.select("img", "y", F.posexplode(F.concat("v", F.array_repeat(F.lit(1.0), margin))).alias("x", "v"))
 
 
 def budget(w: Column, h: Column, most: int) -> tuple[Column, Column]:

@@ -74,3 +74,9 @@ def anchor_decode(cells: DataFrame, stride: int, size: int, per_row: int) -> Dat
     d = lambda c: F.greatest(F.col(c), F.lit(0.0)) * stride
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(float(size)), c))
     return cells.select("*", clamp(px - d("l")).alias("x1"), clamp(py - d("t")).alias("y1"), clamp(px + d("r")).alias("x2"), clamp(py + d("b")).alias("y2"))
+
+
+def class_argmax(rows: DataFrame, scores: str, wanted: int, least: float) -> DataFrame:
+    """rows with score where the first largest of the class scores is the wanted class and above least."""
+    best = F.array_max(scores)
+    return rows.where((F.array_position(scores, best) == wanted + 1) & (best > least)).withColumn("score", best).drop(scores)

@@ -151,13 +151,6 @@ def _vectors(s, d):
     return table(s, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
 
 
-def _class_argmax(s, d):
-    """First largest of the first five classes; kept where it is class 2 and above 0.05."""
-    v = _vectors(s, d).withColumn("c", F.slice("e", 1, 5))
-    best = F.array_max("c")
-    return v.where((F.array_position("c", best) == 3) & (best > 0.05)).select("vec_id", F.round(best, 6).alias("score"))
-
-
 def _anchors(s, d):
     cells = _vectors(s, d).select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.struct(*[F.get("e", i * 4 + k).alias(n) for k, n in enumerate("ltrb")]))).alias("idx", "c")).select("vec_id", "idx", "c.*")
     out = S.anchor_decode(cells, 8, 32, 4)
@@ -218,7 +211,6 @@ QUERIES = {
     "nms_centre": lambda s, d: S.nms(_boxes(s, d).selectExpr("page", "id", "score", "(x1 + x2) / 2 AS cx", "(y1 + y2) / 2 AS cy", "x2 - x1 AS w", "y2 - y1 AS h").selectExpr("page", "id", "score", "cx - w / 2 AS x1", "cy - h / 2 AS y1", "cx + w / 2 AS x2", "cy + h / 2 AS y2"), "page", 0.15),
     "iou_join": lambda s, d: _pairs(s, d).withColumn("iou", F.round(G.iou(G.columns("a_"), G.columns("b_")), 6)).where("iou > 0.1").select("page", "a_id", "b_id", "iou"),
     "anchor_decode": _anchors,
-    "class_argmax": _class_argmax,
     "merge_edges_aabb": _merge,
     "edge_components": edge_components,
     "region_aabb": lambda s, d: edge_components(s, d).join(_boxes(s, d), ["page", "id"]).groupBy("page", "region_id").agg(F.min("x1").alias("x0"), F.min("y1").alias("y0"), F.max("x2").alias("x1"), F.max("y2").alias("y1"), F.count(F.lit(1)).alias("n_lines")),
@@ -230,7 +222,6 @@ QUERIES = {
     "seg_point_distance": lambda s, d: _quads(s, d).select("page", "id", F.round(G.segment_distance((F.col("cx"), F.col("cy")), *G.corners()[:2]), 6).alias("distance")),
     "poly_distance": _poly_distance,
     "unclip": _unclip,
-    "gap_merge": lambda s, d: _pairs(s, d).where(G.box_gap(G.columns("a_"), G.columns("b_")) < 4).select("page", "a_id", "b_id"),
     "scaled_clamped": lambda s, d: _boxes(s, d).select("page", "id", *[F.greatest(F.lit(0.0), F.least(F.lit(64.0), F.col(c) / 1.6)).alias(c) for c in ("x1", "y1", "x2", "y2")]),
     "strip_size": lambda s, d: _boxes(s, d).select("page", "id", F.greatest(F.lit(2), F.floor(48 * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")) + 0.5).cast("int")).alias("w")).withColumn("t", F.expr("w div 4 - 1")),
     "quad_order": _rows_of(lambda q: (lambda p, v: (v, *[c for x in p for c in x]))(*R.order_quad(q)), "page long, id long, down boolean, " + ", ".join(f"{a}{i} double" for i in range(4) for a in "xy")),
@@ -251,7 +242,6 @@ ORACLES = {
     "nms_centre": _nms_sql(0.15),
     "iou_join": f"SELECT * FROM (SELECT page, a_id, b_id, round({_iou('a', 'b')}, 6) AS iou FROM {_PAIRS}) WHERE iou > 0.1",
     "anchor_decode": f"SELECT vec_id, idx::INT AS idx, {_CL('(idx % 4) * 8 - ' + _DIST(1))} AS x1, {_CL('(idx // 4) * 8 - ' + _DIST(2))} AS y1, {_CL('(idx % 4) * 8 + ' + _DIST(3))} AS x2, {_CL('(idx // 4) * 8 + ' + _DIST(4))} AS y2 FROM {_CELLS}",
-    "class_argmax": "SELECT vec_id, round(list_max(embedding[1:5])::DOUBLE, 6) AS score FROM embeddings WHERE list_position(embedding[1:5], list_max(embedding[1:5])) = 3 AND list_max(embedding[1:5])::DOUBLE > 0.05",
     "merge_edges_aabb": f"SELECT * FROM {_MERGE}",
     "edge_components": _COMPONENTS,
     "region_aabb": f"SELECT c.page, region_id, min(x1) AS x0, min(y1) AS y0, max(x2) AS x1, max(y2) AS y1, count(*) AS n_lines FROM ({_COMPONENTS}) c JOIN {B} b ON b.page = c.page AND b.id = c.id GROUP BY c.page, region_id",
@@ -263,7 +253,6 @@ ORACLES = {
     "seg_point_distance": f"SELECT page, id, round({_seg_sql('cx', 'cy', 'ax', 'ay', 'bx', 'q.by')}, 6) AS distance FROM {Q} q",
     "poly_distance": _poly_sql(),
     "unclip": f"SELECT page, id, round(w + 2 * (w * h * 2.3 / (2 * (w + h))), 6) AS w, round(h + 2 * (w * h * 2.3 / (2 * (w + h))), 6) AS h FROM (SELECT page, id, score, x2 - x1 AS w, y2 - y1 AS h FROM {B}) WHERE least(w, h) >= 7 AND score >= 700",
-    "gap_merge": f"SELECT page, a_id, b_id FROM {_PAIRS} WHERE {_GAP} < 4",
     "scaled_clamped": f"SELECT page, id, greatest(0.0, least(64.0, x1 / 1.6::DOUBLE)) AS x1, greatest(0.0, least(64.0, y1 / 1.6::DOUBLE)) AS y1, greatest(0.0, least(64.0, x2 / 1.6::DOUBLE)) AS x2, greatest(0.0, least(64.0, y2 / 1.6::DOUBLE)) AS y2 FROM {B}",
     "strip_size": f"SELECT page, id, w, (w // 4 - 1)::BIGINT AS t FROM (SELECT page, id, greatest(2, floor(48 * (x2 - x1) / (y2 - y1) + 0.5)::INT) AS w FROM {B})",
 }

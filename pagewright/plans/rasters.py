@@ -158,7 +158,6 @@ QUERIES = {
     "extra_lines_union": lambda s, d: bind(s, d, BOXES).where("score < 500").selectExpr("page", "id", "x1").unionByName(bind(s, d, BOXES).where("score >= 500").selectExpr("page", "id", "x1 * 2 AS x1")),
     "pixel_components": lambda s, d: R.components8(pixels(s, d).where("g > 200").select("img", "y", "x"), 8),
     "rotate_ccw": lambda s, d: pixels(s, d).select("img", (7 - F.col("x")).alias("y"), F.col("y").alias("x"), "g"),
-    "context_window": lambda s, d: bind(s, d, BOXES).where("x2 - x1 >= 8 and y2 - y1 >= 8").selectExpr("page", "id", "(x1 + x2) / 2 - (x2 - x1) * 0.85D AS x1", "(x1 + x2) / 2 + (x2 - x1) * 0.85D AS x2").withColumns({"x1": F.round("x1", 6), "x2": F.round("x2", 6)}),
     "perspective_warp": _warp,
     "mask_head": _mask_head,
     "proto_mask": _proto_mask,
@@ -193,5 +192,4 @@ ORACLES = {
     "extra_lines_union": f"SELECT page, id, CASE WHEN score < 500 THEN x1 ELSE x1 * 2 END AS x1 FROM {B}",
     "pixel_components": f"WITH RECURSIVE p AS MATERIALIZED (SELECT img, y, x, y * 8 + x AS pos FROM {P} WHERE g > 200), r(img, pos, root) AS (SELECT img, pos, pos FROM p UNION SELECT r.img, r.pos, q.pos FROM r JOIN p o ON o.img = r.img AND o.pos = r.root JOIN p q ON q.img = o.img AND abs(q.y - o.y) <= 1 AND abs(q.x - o.x) <= 1) SELECT img, (pos // 8)::INT AS y, (pos % 8)::INT AS x, min(root) AS comp FROM r GROUP BY img, pos",
     "rotate_ccw": f"SELECT img, 7 - x AS y, y AS x, g FROM {P}",
-    "context_window": f"SELECT page, id, round((x1 + x2) / 2 - (x2 - x1) * 0.85::DOUBLE, 6) AS x1, round((x1 + x2) / 2 + (x2 - x1) * 0.85::DOUBLE, 6) AS x2 FROM {B} WHERE x2 - x1 >= 8 AND y2 - y1 >= 8",
 }

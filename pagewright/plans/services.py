@@ -121,17 +121,6 @@ def _gain(s, d):
     return e.select("user_id", gain.alias("gain"), F.coalesce(gain >= 0.25, F.lit(False)).alias("passed"))
 
 
-def _ratio(s, d):
-    w = s.createDataFrame([("click", 2), ("view", 1), ("signup", 1)], "event_type string, weight int")
-    e = table(s, d, "events").join(F.broadcast(w), "event_type").groupBy("user_id")
-    return e.agg(F.round(F.try_divide(F.sum(F.when(F.col("event_id") % 2 == 0, F.col("value") * F.col("weight"))), F.sum(F.when(F.col("event_id") % 2 == 1, F.col("value") * F.col("weight")))), 6).alias("ratio"))
-
-
-def _digest(s, d):
-    r = table(s, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("r"))
-    return r.select("o_custkey", F.sha2(F.array_join(F.transform("r", lambda x: F.concat_ws(":", x["o_orderkey"].cast("string"), x["o_orderstatus"])), ","), 256).alias("digest"))
-
-
 #: A layer graph: each part is a layer of its kind, fed by earlier ones.
 LAYERS = "SELECT p_partkey AS layer, CASE WHEN p_partkey % 26 = 0 THEN 'gelu' WHEN p_partkey % 13 = 0 THEN 'split' WHEN p_partkey % 5 = 1 THEN 'conv' WHEN p_partkey % 5 = 2 THEN 'norm' ELSE 'gemm' END AS kind, p_partkey % 3 = 0 AS masked FROM {part}"
 EDGES = "SELECT l_partkey AS layer, l_suppkey AS source FROM {lineitem}"
@@ -162,7 +151,6 @@ QUERIES = {
     "cell_placement": _placed,
     "horizontal_wrap": lambda s, d: bind(s, d, LAYOUT).select("doc_id", L.horizontal_fit("t", F.col("width") * 1.3, F.col("room") * 1.5).alias("f")).select("doc_id", "f.size", F.array_join("f.lines", "|").alias("lines")),
     "text_colour": lambda s, d: table(s, d, "supplier").select("s_suppkey", L.text_colour(F.col("s_suppkey") % 5 == 0, F.col("s_suppkey") % 3 == 0, F.col("s_suppkey") % 256).alias("colours"), F.round(L.stroke_width(F.col("s_suppkey") % 60, F.col("s_suppkey") % 3 == 0), 6).alias("stroke")),
-    "orientation": lambda s, d: table(s, d, "supplier").select("s_suppkey", F.expr("CASE WHEN s_suppkey % 3 = 0 THEN 'v' WHEN s_suppkey % 3 = 1 THEN 'h' ELSE CASE WHEN s_suppkey % 2 = 0 THEN 'v' ELSE 'h' END END").alias("orientation"), (F.abs(F.col("s_suppkey") % 7 - 3) >= 1).alias("rotated")),
     "probe_parse": lambda s, d: _log(s, d).select("line_no", "kind", F.size("kv").cast("bigint").alias("n_keys"), F.coalesce(P.value("step"), F.lit("-")).alias("step"), F.coalesce(P.value("gain"), F.lit("-")).alias("gain")),
     "probe_pairs": lambda s, d: P.pairs(_log(s, d)),
     "probe_throughput": lambda s, d: P.throughput(_log(s, d)),
@@ -174,12 +162,7 @@ QUERIES = {
     "gate_last_wins": lambda s, d: P.last_of(_log(s, d).where("kind = 'GATE'"), P.value("name")).select("run", "key", P.value("gain").alias("gain")),
     "upper_median": lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.collect_list("value").alias("v")).select("user_id", upper_median(F.col("v")).alias("median")),
     "throughput_gain": _gain,
-    "weighted_ratio": _ratio,
-    "ordered_digest": _digest,
-    "ab_match_rate": lambda s, d: table(s, d, "labels").groupBy("quality").agg(F.round(F.avg(F.when(F.col("quality").eqNullSafe(F.col("toxic")), 1.0).otherwise(0.0)), 6).alias("rate"), F.sum(F.when(~F.col("quality").eqNullSafe(F.col("toxic")), 1).otherwise(0)).cast("bigint").alias("differ")),
     "ab_pivot": lambda s, d: table(s, d, "events").groupBy("user_id").pivot("event_type", ["click", "view"]).agg(F.max("event_id")),
-    "recall_rate": lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(F.round(F.avg(F.when(F.length("text") > 400, 1.0).otherwise(0.0)), 6).alias("recall")),
-    "batch_throughput": lambda s, d: table(s, d, "orders").groupBy("o_orderpriority").agg(F.round(F.sum("o_totalprice") / 4, 2).alias("per_page"), F.sum((F.col("o_orderstatus") == "F").cast("bigint")).alias("n_ok")),
     "graph_mask_check": _graph,
 }
 _PAIRSUM = f"(SELECT run, count(*) AS pairs, count(*) FILTER ({_NUM('compared')} > 0 AND {_NUM('noExpect')} = 0) AS compared, sum({_NUM('mismatches')})::BIGINT AS mismatches FROM {_FIRSTS('PAIR', _PKEY)} GROUP BY run)"
@@ -200,7 +183,6 @@ ORACLES = {
     "vertical_cells": f"SELECT doc_id, len(cells)::BIGINT AS n, array_to_string(cells, '|') AS cells FROM {_CELLS}",
     "vertical_fit": f"SELECT doc_id, size, {_CPC('size')} AS capacity FROM {_FIT}",
     "text_colour": "SELECT s_suppkey, CASE WHEN s_suppkey % 5 <> 0 AND s_suppkey % 3 <> 0 AND s_suppkey % 256 < 110 THEN 'white/black' ELSE 'black/white' END AS colours, round(greatest(2.0, (s_suppkey % 60) * CASE WHEN s_suppkey % 3 = 0 THEN 0.16 ELSE 0.10 END)::DOUBLE, 6) AS stroke FROM supplier",
-    "orientation": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 3 = 2 AND s_suppkey % 2 = 0 THEN 'v' ELSE 'h' END AS orientation, s_suppkey % 7 <> 3 AS rotated FROM supplier",
     "probe_parse": f"SELECT line_no, kind, len(f)::BIGINT AS n_keys, coalesce({_VAL('step')}, '-') AS step, coalesce({_VAL('gain')}, '-') AS gain FROM {_KV}",
     "probe_pairs": f"SELECT * FROM {_PAIRSUM}",
     "probe_throughput": f"SELECT run, string_agg(concat({_VAL('mode')}, '=', {_VAL('wallMs')}), ',' ORDER BY line_no) AS wall, count(*) FILTER ({_NUM('compared')} > 0) AS compared, 0::BIGINT AS mismatches, 0::BIGINT AS no_expect FROM {_FIRSTS('TP', _VAL('mode'))} GROUP BY run",
@@ -213,11 +195,6 @@ ORACLES = {
     "gate_last_wins": f"SELECT run, {_VAL('name')} AS key, arg_max({_VAL('gain')}, line_no) AS gain FROM {_KV} WHERE kind = 'GATE' GROUP BY ALL",
     "upper_median": "SELECT user_id, list_sort(list(value))[count(*) // 2 + 1] AS median FROM events GROUP BY user_id",
     "throughput_gain": "SELECT user_id, g AS gain, coalesce(g >= 0.25, false) AS passed FROM (SELECT user_id, round(avg(value) FILTER (event_type = 'click') / avg(value) FILTER (event_type = 'view') - 1, 6) AS g FROM events GROUP BY user_id)",
-    "weighted_ratio": "SELECT user_id, round(sum(value * w) FILTER (event_id % 2 = 0) / sum(value * w) FILTER (event_id % 2 = 1), 6) AS ratio FROM (SELECT *, CASE event_type WHEN 'click' THEN 2 ELSE 1 END AS w FROM events WHERE event_type IN ('click', 'view', 'signup')) GROUP BY user_id",
-    "ordered_digest": "SELECT o_custkey, sha256(string_agg(concat(o_orderkey, ':', o_orderstatus), ',' ORDER BY o_orderkey)) AS digest FROM orders GROUP BY o_custkey",
-    "ab_match_rate": "SELECT quality, round(avg((quality IS NOT DISTINCT FROM toxic)::INT::DOUBLE), 6) AS rate, count(*) FILTER (quality IS DISTINCT FROM toxic) AS differ FROM labels GROUP BY quality",
     "ab_pivot": "SELECT user_id, max(event_id) FILTER (event_type = 'click') AS click, max(event_id) FILTER (event_type = 'view') AS view FROM events GROUP BY user_id",
-    "recall_rate": "SELECT conv_id, round(avg((length(text) > 400)::INT::DOUBLE), 6) AS recall FROM conversations GROUP BY conv_id",
-    "batch_throughput": "SELECT o_orderpriority, round(sum(o_totalprice) / 4, 2) AS per_page, count(*) FILTER (o_orderstatus = 'F') AS n_ok FROM orders GROUP BY o_orderpriority",
     "graph_mask_check": "SELECT p_partkey AS layer, CASE WHEN p_partkey % 26 = 0 THEN 'gelu' WHEN p_partkey % 13 = 0 THEN 'split' WHEN p_partkey % 5 = 1 THEN 'conv' WHEN p_partkey % 5 = 2 THEN 'norm' ELSE 'gemm' END AS kind FROM part WHERE p_partkey % 3 = 0 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem JOIN part ON p_partkey = l_suppkey WHERE p_partkey % 13 = 0)",
 }

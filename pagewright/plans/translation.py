@@ -88,8 +88,6 @@ QUERIES = {
     "chat_response": chat_response,
     "thinking_reject": lambda s, d: table(s, d, "events").select("event_id", F.expr(ERROR.format(x="event_id")).alias("error")).select("event_id", P.refuses_thinking(F.col("error")).alias("rejects")),
     "chunked_batches": lambda s, d: P.chunked(table(s, d, "documents").select("doc_id"), 7, "doc_id"),
-    "retry_key": lambda s, d: table(s, d, "supplier").select("s_suppkey", F.concat_ws("|", F.concat(F.lit("p"), F.col("s_nationkey").cast("string")), "s_name").alias("retry_key")),
-    "resume_steps": lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("step")).join(table(s, d, "lineitem").select(F.col("l_orderkey").alias("step")), "step", "left_anti"),
 }
 ORACLES = {
     "page_outcomes": f"SELECT f.page, count(*) AS n_regions, sum(keep::INT)::BIGINT AS n_kept, CASE WHEN sum(keep::INT) = 0 AND any_value(e.error) IS NOT NULL THEN 'Failed' WHEN sum(keep::INT) = 0 THEN 'Skipped' ELSE 'Translated' END AS outcome FROM {_FLAGS} f JOIN {_ERRORS} e ON e.page = f.page GROUP BY f.page",
@@ -107,6 +105,4 @@ ORACLES = {
     "chat_response": """SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN concat('k', props->>'k') END AS content, CASE WHEN event_id % 9 = 0 THEN concat('HTTP 429 {"choices": [{"message": {"content": "k', props->>'k', '"}}]}') END AS error FROM events""",
     "thinking_reject": f"SELECT event_id, starts_with(e, 'HTTP 400') AND regexp_matches(lower(e), 'thinking|reasoning') AND regexp_matches(lower(e), '{'|'.join(P.REFUSALS)}') AS rejects FROM (SELECT event_id, {ERROR.format(x='event_id')} AS e FROM events)",
     "chunked_batches": "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 7 AS chunk, (row_number() OVER (ORDER BY doc_id) - 1) % 7 AS place FROM documents",
-    "retry_key": "SELECT s_suppkey, concat('p', s_nationkey, '|', s_name) AS retry_key FROM supplier",
-    "resume_steps": "SELECT o_orderkey AS step FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
 }
