@@ -119,16 +119,20 @@ class Line:
         self.direction = "v" if self.down else "h"
 
 
+def box_gap(p: tuple, q: tuple) -> float:
+    return math.hypot(max(0.0, p[0] - q[2], q[0] - p[2]), max(0.0, p[1] - q[3], q[1] - p[3]))
+
+
 def may_merge(a: Line, b: Line) -> bool:
     """Whether two lines may belong together, by size, shape, angle and distance."""
     c = min(a.font, b.font)
-    if c <= 0:
-        return False
-    d = polygon_distance(a.points, b.points)
-    if d > 2 * c or max(a.font, b.font) / c > 2:
+    if c <= 0 or max(a.font, b.font) / c > 2 or box_gap(a.box, b.box) > 2 * c:  # the boxes are never further apart than the lines
         return False
     if a.aspect > 1.3 and b.aspect < 1 / 1.3 or b.aspect > 1.3 and a.aspect < 1 / 1.3:
         return False
+    d = polygon_distance(a.points, b.points)
+    if d > 2 * c:
+        return False
     if a.upright and b.upright:
         if d >= c:
             return False

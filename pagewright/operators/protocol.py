@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +55,7 @@ def is_pattern(pattern: str) -> bool:
     """Whether Java's regular expressions, which the rows meet, can read it."""
     try:
         SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JJavaError:
+    except IllegalArgumentException:
         return False
     return True
 
