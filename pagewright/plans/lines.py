@@ -200,6 +200,19 @@ _CELLS = "(SELECT vec_id, unnest(range(0, 16)) AS idx, embedding FROM embeddings
 _CL = lambda e: f"round(greatest(0.0, least(32.0, {e})), 6)"
 _DIST = lambda k: f"greatest(0.0, embedding[idx * 4 + {k}]::DOUBLE) * 8"
 
+_DIFF = lambda i, j, a: f"({'abcd'[i]}{a} - {'abcd'[j]}{a})"
+#: Corners in order: the third and fourth shortest of the pairwise vectors, each of which occurs twice after the four empty ones.
+_ORDERED = f"""(SELECT page, id, down, CASE WHEN down THEN [n0, n1, f1, f0] ELSE [n0, f0, f1, n1] END AS p FROM (
+    SELECT page, id, down, CASE WHEN down AND s[2].x < s[1].x OR NOT down AND s[2].y < s[1].y THEN s[2] ELSE s[1] END AS n0, CASE WHEN down AND s[2].x < s[1].x OR NOT down AND s[2].y < s[1].y THEN s[1] ELSE s[2] END AS n1,
+           CASE WHEN down AND s[4].x < s[3].x OR NOT down AND s[4].y < s[3].y THEN s[4] ELSE s[3] END AS f0, CASE WHEN down AND s[4].x < s[3].x OR NOT down AND s[4].y < s[3].y THEN s[3] ELSE s[4] END AS f1
+    FROM (SELECT page, id, down, list_sort([{", ".join(f"{{'k': CASE WHEN down THEN {c}y ELSE {c}x END, 'i': {i}, 'x': {c}x, 'y': {c}y}}" for i, c in enumerate("abcd"))}]) AS s FROM (
+        SELECT *, CASE WHEN v[9].x * v[11].x + v[9].y * v[11].y < 0 THEN abs(v[11].x - v[9].x) <= abs(v[11].y - v[9].y) ELSE abs(v[11].x + v[9].x) <= abs(v[11].y + v[9].y) END AS down
+        FROM (SELECT *, list_sort([{", ".join(f"{{'d': {_DIFF(i, j, 'x')} * {_DIFF(i, j, 'x')} + {_DIFF(i, j, 'y')} * {_DIFF(i, j, 'y')}, 'k': {4 * i + j}, 'x': {_DIFF(i, j, 'x')}, 'y': {_DIFF(i, j, 'y')}}}" for i in range(4) for j in range(4))}]) AS v
+            FROM (SELECT page, id, ax, ay, bx, q.by AS by_, cx, cy, dx, dy FROM {Q} q))))))""".replace("by -", "by_ -").replace("- by)", "- by_)").replace("THEN by ELSE", "THEN by_ ELSE").replace("'y': by}", "'y': by_}")
+_HALF = lambda a, b, c: f"trunc((p[{a}].{c} + p[{b}].{c}) / 2)"
+_FEATURES = f"""(SELECT page, id, down, p, vx, vy, hx, hy, sqrt(vx * vx + vy * vy) AS nv, sqrt(hx * hx + hy * hy) AS nh FROM (
+    SELECT page, id, down, p, {_HALF(3, 4, 'x')} - {_HALF(1, 2, 'x')} AS vx, {_HALF(3, 4, 'y')} - {_HALF(1, 2, 'y')} AS vy, {_HALF(4, 1, 'x')} - {_HALF(2, 3, 'x')} AS hx, {_HALF(4, 1, 'y')} - {_HALF(2, 3, 'y')} AS hy FROM {_ORDERED}))"""
+
 QUERIES = {
     "ctc_collapse": lambda s, d: S.ctc_collapse(_steps(s, d), order=("t", "event_id")).select("strip", "event_id", "idx"),
     "ctc_text_prob": lambda s, d: _text(s, d).select("strip", "text", F.round("prob", 6).alias("prob")),
@@ -232,6 +245,12 @@ QUERIES = {
     "grouping_full": lambda s, d: R.group_lines(_quads(s, d)),
 }
 ORACLES = {
+    "quad_order": f"SELECT page, id, down, {', '.join(f'p[{i + 1}].{a} AS {a}{i}' for i in range(4) for a in 'xy')} FROM {_ORDERED}",
+    "quad_features": f"""SELECT page, id, down, round(least(nv, nh), 6) AS font, round(CASE WHEN nv > 0 THEN nh / nv ELSE 1.0 END, 6) AS aspect,
+        round(CASE WHEN nv > 0 THEN (acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, vx / nv))) + pi()) % pi() ELSE pi() / 2 END, 6) AS angle,
+        round((p[1].x + p[2].x + p[3].x + p[4].x) / 4, 6) AS cx, round((p[1].y + p[2].y + p[3].y + p[4].y) / 4, 6) AS cy,
+        abs(CASE WHEN nv > 0 THEN vx / nv ELSE 0 END) < 0.05 OR abs(CASE WHEN nv > 0 THEN vy / nv ELSE 0 END) < 0.05 OR abs(CASE WHEN nh > 0 THEN hx / nh ELSE 0 END) < 0.05 OR abs(CASE WHEN nh > 0 THEN hy / nh ELSE 0 END) < 0.05 AS upright
+        FROM {_FEATURES}""",
     "ctc_collapse": f"SELECT strip, event_id, idx FROM {_EMIT}",
     "ctc_text_prob": f"SELECT strip, text, round(prob, 6) AS prob FROM {_TEXT}",
     "ctc_confidence_filter": f"SELECT strip, CASE WHEN round(prob, 6) >= 0.6 AND length(text) >= 1 THEN text ELSE '' END AS text FROM {_TEXT}",
