@@ -431,3 +431,29 @@ def test_html_without_wrappers():
     cases = {"<html><body><p>Hello world, this is a page.</p></body></html>": "Hello world, this is a page.", "<div><p>Short.</p></div>": "Short.", "<body>Only bare &amp; short</body>": "Only bare & short", "<b>in</b> <i>line</i>": "in line", "plain text": "plain text", "<ul><li>one</li><li>two</li></ul>": "one two", "<nav><ul><li><a href=1>a</a></li></ul></nav>": "", "<article>a <math><mi>x</mi></math> <object>b<p>c</p></article>": "a x b c", "<p>a<script>x<p>b": "a b"}
     for source, want in cases.items():
         assert html_text.extract(source, model) == want, source
+
+
+def test_an_index_is_its_folder(spark, docs, none):
+    index = substring_dedup.SubstringIndex(spark, buckets=4, window=7)
+    index.add(docs.where("doc_id <= 3"))
+    index.add(none)
+    again = substring_dedup.SubstringIndex(spark, index.path)
+    assert (again.buckets, again.window, len(again.stored())) == (4, 7, 2)
+    again.compact()
+    assert len(index.stored()) == 1
+    late = spark.createDataFrame([(50, ROWS[0][1] + " more"), (51, "nothing of the kind")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(late, index=again, window=7).collect()} == {50: 13, 51: 0}
+
+
+def test_added_columns_replace_clashing_ones(spark, docs, none):
+    """Every operator's own column names, given as input columns of another kind; a very long URL."""
+    taken = lambda df, names: df.select(*[c for c in df.columns if c not in names], *[F.lit("own").alias(n) for n in names])
+    rows = taken(docs, ["ids", "decoded", "n_tokens", "held_out", "lang_pred", "score", "base", "spans"])
+    assert bpe.bpe(rows, bpe.default_path()).where("decoded = 'own'").count() == 0
+    assert lang_id.identify(rows).where("lang_pred = 'own'").count() == 0 and lang_id.identify(rows).columns.count("held_out") == 1
+    assert pii.find_pii(rows).where("size(spans) > 0").count() >= 1
+    turns = spark.createDataFrame([(1, 0, "user", "a", "own", "own")], "conv_id long, turn long, role string, text string, formatted string, loss_start string")
+    assert chat.format_turns(turns).first()["formatted"] == "<|im_start|>user\na<|im_end|>\n"
+    urls = spark.createDataFrame([(1, "http://x.net/" + "a1/" * 200000, "own", "own"), (2, None, "own", "own")], "page_id long, url string, host string, url_score string")
+    got = {r["page_id"]: (r["host"], len(r["path"]), r["verdict"]) for r in url_filter.filter_urls(urls).collect()}
+    assert got == {1: ("x.net", 600001, "allow"), 2: ("", 0, "allow")}
