@@ -12,7 +12,8 @@ puts shingles that a fixed-size count sketch of the corpus finds frequent last,
 the classes that share such a shingle:
 
 1. profile: class, size and point of every document, and the sketch (one pass over the texts);
-2. blocks: classes by shared shingle, equal blocks once (second pass); trees over the points of each block give edges that may link;
+2. blocks: classes by shared shingle, equal blocks once (second pass); trees over the points of each block give edges that may link. A block
+   is joined in parts of bounded size first; of each component in a part, only the boxes around its points meet the other parts;
 3. components of these edges, cut into chunks of bounded size; the sets of their classes (third pass) are joined exactly by a tree in
    each chunk, then the representatives of the chunks, then, for components that are still not one, chunk by chunk.
 """
@@ -39,6 +40,7 @@ CELLS = 1 << 20  # of the sketch: one byte each is broadcast
 SKETCH_BLOCKS = 64
 #: A block of more classes is linked as a whole before verification; a chunk holds about this many shingles.
 LARGEST_BLOCK = 50_000
+BLOCK_PART = 512  # classes of a block that one tree holds
 CHUNK_SHINGLES = 2_000_000
 BUCKET_ENTRIES = 250_000  # prefix entries that one task groups
 BLOOM_BITS = 1 << 26  # 8 MB
@@ -72,12 +74,20 @@ def pack_point(s: np.ndarray) -> bytes:
 
 
 def unpack_point(raw: bytes, n: int, groups: int) -> np.ndarray:
-    """Upper bounds of the counts, folded to fewer groups."""
+    """Upper bounds of the counts, folded to fewer groups; n: the set's size, or the greatest in a box."""
     x = np.frombuffer(raw, np.uint8).astype(np.int64)
     x[x == 255] = n
     return x.reshape(-1, groups).sum(0)
 
 
+def size_ranges(sizes: np.ndarray):
+    """(number, groups, places of the sets) of the range of sizes of each tree."""
+    least = 0
+    for number, (most, groups) in enumerate(GROUPS):
+        yield number, groups, np.flatnonzero((sizes > least) & (sizes * LINK[0] <= most * LINK[1]))
+        least = most
+
+
 def join_components(sizes: np.ndarray, point_at, check, labels: np.ndarray | None = None, sides: np.ndarray | None = None) -> np.ndarray:
     """Component numbers (the first member's) of sets of any sizes: one tree for each range of sizes.
 
@@ -98,10 +108,7 @@ def join_components(sizes: np.ndarray, point_at, check, labels: np.ndarray | Non
 
     if labels is not None:
         unite(range(k), label_heads(labels))
-    least = 0
-    for most, groups in GROUPS:
-        at = np.flatnonzero((sizes > least) & (sizes * LINK[0] <= most * LINK[1]))
-        least = most
+    for _, groups, at in size_ranges(sizes):
         if len(at) > 1:
             tree = CountTree(np.stack([point_at(int(i), groups) for i in at]), sizes[at])
             now = np.array([find(int(i)) for i in at])
@@ -124,13 +131,16 @@ def links(n_a, n_b, common):
 
 
 class CountTree:
-    """R-tree over count vectors, packed in order of size. join() finds the components of a link predicate."""
+    """R-tree over count vectors, packed in order of size. join() finds the components of a link predicate.
+
+    With tops, its entries are boxes: points are their upper corners, sizes and tops the least and greatest size in each."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, tops: np.ndarray | None = None):
         self.order = np.lexsort((points[:, 0], sizes))
         self.p, self.n = points[self.order].astype(np.int32), sizes[self.order].astype(np.int64)
+        self.top = self.n if tops is None else tops[self.order].astype(np.int64)
         self.levels = []  # of boxes: (upper corners, least size, greatest size), leaves first
-        hi, lo_n, hi_n = self.p, self.n, self.n
+        hi, lo_n, hi_n = self.p, self.n, self.top
         while True:
             at = np.arange(0, len(hi), LEAF)
             hi, lo_n, hi_n = np.maximum.reduceat(hi, at), np.minimum.reduceat(lo_n, at), np.maximum.reduceat(hi_n, at)
@@ -201,7 +211,7 @@ class CountTree:
             if side is not None:
                 ok &= side[a] != side[c]
             a, c = a[ok], c[ok]
-            ok = self._may(self.p[a], self.p[c], self.n[a], self.n[c], self.n[a], self.n[c]) if len(a) else ok[:0]
+            ok = self._may(self.p[a], self.p[c], self.n[a], self.n[c], self.top[a], self.top[c]) if len(a) else ok[:0]
             changed = False
             for x, y in zip(a[ok].tolist(), c[ok].tolist(), strict=True):
                 rx, ry = find(x), find(y)
@@ -278,7 +288,8 @@ def prefix(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def blocks(docs: DataFrame, text: str, levels: np.ndarray, buckets: int) -> DataFrame:
-    """(block, cls) of the blocks of several classes, equal ones once; (null, cls, other) edges for those over LARGEST_BLOCK."""
+    """(block, part, parts, cls) of the blocks of several classes, equal ones once in a bucket, each in parts of BLOCK_PART classes;
+    (cls, other) edges, the rest null, for those over LARGEST_BLOCK."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # CELLS bytes
 
     def emit(batches):
@@ -312,19 +323,22 @@ def blocks(docs: DataFrame, text: str, levels: np.ndarray, buckets: int) -> Data
             size = np.diff(np.append(first, len(k)))
             for large in np.flatnonzero(size > LARGEST_BLOCK).tolist():
                 x = o[first[large] : first[large] + size[large]]
-                yield _batch(block=pa.nulls(len(x), pa.int64()), cls=pa.array(x), other=pa.array(np.full(len(x), x[0])))
+                none = pa.nulls(len(x), pa.int32())
+                yield _batch(block=pa.nulls(len(x), pa.int64()), part=none, parts=none, cls=pa.array(x), other=pa.array(np.full(len(x), x[0])))
             keep = (size > 1) & (size <= LARGEST_BLOCK)
             name = np.add.reduceat(mix(o.view(U64)), first) if len(first) else k
             _, once = np.unique(name[keep], return_index=True)
             at = np.flatnonzero(keep)[once]
             n = size[at]
-            rows_at = np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)  # in its block; equal blocks have equal places
+            rows_at = np.repeat(first[at], n) + place
             if len(rows_at):
-                yield _batch(block=pa.array(np.repeat((name[at] >> U64(1)).astype(np.int64), n)), cls=pa.array(o[rows_at]), other=pa.nulls(len(rows_at), pa.int64()))
+                part, many = (place // BLOCK_PART).astype(np.int32), np.repeat(-(-n // BLOCK_PART), n).astype(np.int32)
+                yield _batch(block=pa.array(np.repeat((name[at] >> U64(1)).astype(np.int64), n)), part=pa.array(part), parts=pa.array(many), cls=pa.array(o[rows_at]), other=pa.nulls(len(rows_at), pa.int64()))
 
     runs = in_arrow(docs.select(F.col(text).alias("text")), emit, "bucket int, run binary")
     dealt = runs.repartition(max(buckets, parts(docs.sparkSession)), "bucket").sortWithinPartitions("bucket")
-    return cut(in_arrow(dealt, group, "block long, cls long, other long"), "blocks")
+    return cut(in_arrow(dealt, group, "block long, part int, parts int, cls long, other long"), "blocks")
 
 
 def _pack(k: np.ndarray, o: np.ndarray) -> bytes:
@@ -348,20 +362,56 @@ def _streams(batches, keys: list[str]):
 
 
 def possible_edges(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): a spanning set of the pairs in each block whose points can link."""
+    """(a, b), in the shared folder: edges whose components hold every pair of a block whose points can link.
+
+    Each part of a block is joined by itself. Where a block has several, the components of a part go on as boxes, one for each
+    range of sizes; boxes of different parts that can hold a linking pair join their components."""
+    box = "block long, range int, part int, head long, least long, most long, corner binary"
+
+    def join_parts(batches):
+        for (block, part, many), (cls, n, points) in _streams(batches, ["block", "part", "parts"]):
+            sizes = np.array(n)
+            heads = np.array(label_heads(join_components(sizes, lambda i, g, n=n, points=points: unpack_point(points[i], n[i], g), lambda a, b: True)))
+            a = np.array(cls)
+            b = a[heads]
+            if (a != b).any():
+                yield _with_nulls(box, a=a[a != b], b=b[a != b])
+            for number, groups, at in size_ranges(sizes) if many > 1 else ():
+                if len(at):
+                    at = at[np.argsort(heads[at], kind="stable")]
+                    first = np.flatnonzero(np.append(True, np.diff(heads[at]) != 0))
+                    high = np.maximum.reduceat(np.stack([unpack_point(points[i], n[i], groups) for i in at.tolist()]), first)
+                    corner = [x.tobytes() for x in np.minimum(high, 255).astype(np.uint8)]
+                    same = np.full(len(first), 1)
+                    yield _with_nulls(box, block=same * block, range=same * number, part=same * part, head=b[at[first]], least=np.minimum.reduceat(sizes[at], first), most=np.maximum.reduceat(sizes[at], first), corner=corner)
+
+    def join_boxes(batches):
+        for (_, number), (part, head, least, most, corner) in _streams(batches, ["block", "range"]):
+            high = np.stack([unpack_point(x, top, GROUPS[number][1]) for x, top in zip(corner, most, strict=True)])
+            label = CountTree(high, np.array(least), np.array(most)).join(lambda a, b: True, sides=np.array(part))
+            a = np.array(head)
+            b = a[label_heads(label)]
+            if (a != b).any():
+                yield _batch(a=pa.array(a[a != b]), b=pa.array(b[a != b]))
+
+    places = members.where(F.col("block").isNotNull()).select("block", "part", "parts", "cls").distinct()
+    rows = salted_lookup(places, classes, ["cls"], F.col("block"), how="inner")
+    n = parts(members.sparkSession)
+    dealt = rows.select("block", "part", "parts", "cls", "n", "point").repartition(n, "block", "part").sortWithinPartitions("block", "part", "parts")
+    found = cut(in_arrow(dealt, join_parts, f"a long, b long, {box}"), "parts")
+    boxes = found.where(F.col("block").isNotNull()).select("block", "range", "part", "head", "least", "most", "corner")
+    between = in_arrow(boxes.repartition(n, "block", "range").sortWithinPartitions("block", "range"), join_boxes, "a long, b long")
+    edges = cut(found.where(F.col("a").isNotNull()).select("a", "b").unionByName(between), "may")
+    discard(found)
+    return edges
 
-    def run(batches):
-        for _, (cls, n, points) in _streams(batches, ["block"]):
-            label = join_components(np.array(n), lambda i, g: unpack_point(points[i], n[i], g), lambda a, b: True)
-            out = [(c, cls[x]) for c, x in zip(cls, label_heads(label), strict=True) if c != cls[x]]
-            if out:
-                a, b = zip(*out, strict=True)
-                yield _batch(a=pa.array(a, pa.int64()), b=pa.array(b, pa.int64()))
 
-    rows = salted_lookup(members.where(F.col("block").isNotNull()).select("block", "cls").distinct(), classes, ["cls"], F.col("block"), how="inner")
-    n = parts(members.sparkSession)
-    dealt = rows.select("block", "cls", "n", "point").repartition(n, "block").sortWithinPartitions("block")
-    return in_arrow(dealt, run, "a long, b long")
+def _with_nulls(box: str, **columns) -> pa.RecordBatch:
+    """A batch with the columns a, b and those of box; the ones not given are null."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    size = len(next(iter(columns.values())))
+    fields = [f.split() for f in ("a long, b long, " + box).split(", ")]
+    return _batch(**{name: pa.array(columns[name], kinds[kind]) if name in columns else pa.nulls(size, kinds[kind]) for name, kind in fields})
 
 
 def label_heads(label) -> list[int]:
@@ -430,9 +480,10 @@ def linked_classes(docs: DataFrame, text: str, key: str, table: DataFrame) -> Da
     total = table.agg(F.sum("n")).first()[0] or 0
     buckets = 1 << max(2, int(total // 5 // BUCKET_ENTRIES).bit_length())
     members = blocks(docs.where(F.col(key).isNotNull()), text, sketch_levels(table), buckets)
-    may = possible_edges(members, classes).unionByName(members.where(F.col("other").isNotNull()).select(F.col("cls").alias("a"), F.col("other").alias("b")))
+    close = possible_edges(members, classes)
+    may = close.unionByName(members.where(F.col("other").isNotNull()).select(F.col("cls").alias("a"), F.col("other").alias("b")))
     coarse = components(may)
-    discard(members)
+    discard(members, close)
     wanted = salted_lookup(coarse.withColumnsRenamed({"node": "cls", "root": "comp"}), classes.select("cls", "id", "n"), ["cls"], F.col("cls"), how="inner")
     weight = wanted.groupBy("comp").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).cast("int").alias("chunks"))
     wanted = salted_lookup(wanted, weight, ["comp"], F.col("cls")).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))

@@ -105,9 +105,11 @@ def test_jaccard_cases(docs, none):
     assert jaccard_join.jaccard_join(none).count() == 0
 
 
-def test_jaccard_in_small_pieces(spark, monkeypatch):
+@pytest.mark.parametrize("largest, part", [(6, 512), (50_000, 3), (12, 1)])
+def test_jaccard_in_small_pieces(spark, monkeypatch, largest, part):
     monkeypatch.setattr(jaccard_join, "CHUNK_SHINGLES", 400)
-    monkeypatch.setattr(jaccard_join, "LARGEST_BLOCK", 6)
+    monkeypatch.setattr(jaccard_join, "LARGEST_BLOCK", largest)
+    monkeypatch.setattr(jaccard_join, "BLOCK_PART", part)
     r = np.random.default_rng(3)
     base = [list(map(str, r.integers(0, 10**6, 60))) for _ in range(6)]
     rows = []
@@ -126,6 +128,24 @@ def test_jaccard_in_small_pieces(spark, monkeypatch):
     assert got == dict(enumerate(root))
 
 
+def test_boxes_of_parts_lose_no_pair(spark):
+    """Texts of one block, of two size ranges, in parts of a few classes: every pair whose points can link is in one component."""
+    r = np.random.default_rng(8)
+    sets = []
+    for size in (40, 1010, 1200):
+        base = r.integers(1, 2**62, size).astype(np.uint64)
+        for _ in range(25):
+            sets.append(np.unique(np.append(base[r.random(size) > r.choice([0.02, 0.3])], r.integers(1, 2**62, 3).astype(np.uint64))))
+    rows = [(i + 1, len(s), jaccard_join.pack_point(s)) for i, s in enumerate(sets)]
+    classes = spark.createDataFrame(rows, "cls long, n long, point binary")
+    members = spark.createDataFrame([(7, i // 6, -(-len(sets) // 6), i + 1, None) for i in range(len(sets))], "block long, part int, parts int, cls long, other long")
+    label = {x["node"]: x["root"] for x in core.components(jaccard_join.possible_edges(members, classes)).collect()}
+    for a in range(len(sets)):
+        for b in range(a):
+            if jaccard_join.links(len(sets[a]), len(sets[b]), len(np.intersect1d(sets[a], sets[b]))):
+                assert label[a + 1] == label[b + 1]
+
+
 def test_count_tree_equals_all_pairs():
     r = np.random.default_rng(5)
     sets = [np.unique(r.integers(0, 400, int(r.integers(5, 300))).astype(np.uint64)) for _ in range(150)]
