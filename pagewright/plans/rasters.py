@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import heads as H
 from ..operators import raster as R
 from ..operators import sequence as S
 from ..sources.tables import BOXES, PIXELS as P, as_sql, bind, pixels, table
@@ -59,29 +60,64 @@ def _in_boxes(s, d):
     return m.where(hit).select("img", "y", "x")
 
 
-def _mask_head(s, d):
-    """A 2-4-1 head with weights from the image itself, through numpy in Arrow batches."""
-    import numpy as np
-    import pyarrow as pa
+def _maps(s, d, cell):
+    """Each vector as a page of 8 x 8 maps, and e, its numbers."""
+    v = table(s, d, "embeddings").select(F.col("vec_id").alias("page"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    return v.selectExpr("*", "8 AS height", "8 AS width", f"flatten(transform(sequence(0, 63), p -> {cell})) AS values")
+
 
-    def run(batches):
-        for b in batches:
-            e = np.stack([np.asarray(x, np.float64) for x in b.column("embedding").to_pylist()]) if b.num_rows else np.zeros((0, 64))
-            w1, b1, w2, b2 = e[:, :8].reshape(-1, 2, 4), e[:, 8:12], e[:, 12:16], e[:, 16]
-            feats = e[:, 16:64].reshape(-1, 24, 2)
-            hid = np.maximum(0, feats @ w1 + b1[:, None, :])
-            prob = 1 / (1 + np.exp(-((hid * w2[:, None, :]).sum(2) + b2[:, None])))
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array((prob > 0.5).sum(1), pa.int64()), pa.array(prob.mean(1))], names=["vec_id", "n_on", "mean_prob"])
+def _on_mask(masks):
+    """How many pixels of a mask are on, and the sum of their places."""
+    on = F.expr("filter(sequence(0, size(mask) - 1), i -> mask[i])")
+    return masks.select(F.col("page").alias("vec_id"), F.size(on).cast("bigint").alias("n_on"), F.aggregate(on, F.lit(0).cast("bigint"), lambda a, i: a + i).alias("places"))
 
-    return table(s, d, "embeddings").select("vec_id", "embedding").mapInArrow(run, "vec_id long, n_on long, mean_prob double")
+
+def _mask_head(s, d):
+    """Two instances a vector through the 10-8-8-1 head over eight maps, on a page of 48 x 40."""
+    kernel = "transform(sequence(0, 168), i -> e[(11 * i + 3 + 5 * j) % 64] * 8)"
+    instance = f"named_struct('x', CAST((page + 3 * j) % 8 * 8 AS DOUBLE), 'y', CAST((page DIV 8 + j) % 8 * 8 AS DOUBLE), 'stride', CAST(8 * pow(2, (page + j) % 3) AS INT), 'score', 0.25D + 0.1D * ((page + j) % 3), 'kernel', {kernel})"
+    maps = _maps(s, d, "transform(sequence(0, 7), c -> e[(p + 7 * c) % 64] * (1 + c))")
+    pages = maps.selectExpr("page", "height", "width", "values", "56 AS inner_h", "48 AS inner_w", "48 AS page_h", "40 AS page_w", f"transform(array(0, 1), j -> {instance}) AS instances")
+    return _on_mask(H.dynamic_masks(pages))
 
 
 def _proto_mask(s, d):
-    """sigmoid(coefficients . prototypes) of a 4-prototype head, cropped to the middle."""
-    e = F.transform("embedding", lambda x: x.cast("double"))
-    v = table(s, d, "embeddings").select("vec_id", e.alias("e"))
-    cell = lambda i: S.sigmoid(sum((F.get("e", F.lit(k)) * F.get("e", i + 4 + 15 * k) for k in range(1, 4)), F.get("e", F.lit(0)) * F.get("e", i + 4)))
-    return v.select("vec_id", F.size(F.filter(F.transform(F.sequence(F.lit(3), F.lit(11)), cell), lambda p: p > 0.5)).cast("bigint").alias("n_on"))
+    """Two instances a vector from 32 prototypes, in a square of 32 with a page of 28 x 20 in the middle."""
+    instance = "named_struct('cx', CAST((page * 7 + 13 * j) % 40 AS DOUBLE), 'cy', CAST((page * 5 + 11 * j) % 36 AS DOUBLE), 'w', CAST(3 + (page + j) % 17 AS DOUBLE), 'h', CAST(4 + (page * 3 + j) % 19 AS DOUBLE), 'coefficients', transform(sequence(0, 31), c -> e[(3 * c + 17 * j) % 64] * 4))"
+    maps = _maps(s, d, "transform(sequence(0, 31), c -> e[(p + 5 * c) % 64])")
+    pages = maps.selectExpr("page", "height", "width", "values", "0 AS top", "4 AS left", "32 AS inner_h", "23 AS inner_w", "28 AS page_h", "20 AS page_w", f"transform(array(0, 1), j -> {instance}) AS instances")
+    return _on_mask(H.prototype_masks(pages, 32))
+
+
+_VECTORS = "SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, j FROM embeddings, (SELECT unnest([0, 1]) AS j)"
+_BETWEEN = lambda v: f"(list_extract({v}, y0 * w0 + x0 + 1) * (1 - fx) + list_extract({v}, y0 * w0 + x1 + 1) * fx) * (1 - fy) + (list_extract({v}, y1 * w0 + x0 + 1) * (1 - fx) + list_extract({v}, y1 * w0 + x1 + 1) * fx) * fy"
+
+
+def _axis(name, src, dst):
+    """SQL of half-pixel taps of an axis: name, name0, name1, f + name."""
+    pos = f"greatest(0.0, least({src - 1}.0, ({name} + 0.5) * ({src}::DOUBLE / {dst}) - 0.5))"
+    return f"(SELECT {name}, floor({pos})::INT AS {name}0, least(floor({pos})::INT + 1, {src - 1}) AS {name}1, {pos} - floor({pos}) AS f{name} FROM (SELECT unnest(range({dst})) AS {name}))"
+
+
+_MASK_HEAD_SQL = f"""
+    WITH v AS (SELECT *, list_transform(range(169), lambda i: list_extract(e, (11 * i + 3 + 5 * j) % 64 + 1) * 8) AS k FROM ({_VECTORS}) WHERE (vec_id + j) % 3 > 0),
+    a AS (SELECT vec_id, j, k, p, list_concat([((vec_id + 3 * j) % 8 * 8 - p % 8 * 8) / (64.0::DOUBLE * (1 << ((vec_id + j) % 3))::INT), ((vec_id // 8 + j) % 8 * 8 - p // 8 * 8) / (64.0::DOUBLE * (1 << ((vec_id + j) % 3))::INT)],
+                 list_transform(range(8), lambda c: list_extract(e, (p + 7 * c) % 64 + 1) * (1 + c))) AS a FROM v, (SELECT unnest(range(64)) AS p)),
+    b AS (SELECT vec_id, j, k, p, list_transform(range(8), lambda o: greatest(0, list_extract(k, 153 + o) + list_dot_product(k[o * 10 + 1 : o * 10 + 10], a))) AS b FROM a),
+    c AS (SELECT vec_id, j, k, p, list_transform(range(8), lambda o: greatest(0, list_extract(k, 161 + o) + list_dot_product(k[81 + o * 8 : 88 + o * 8], b))) AS c FROM b),
+    g AS (SELECT vec_id, j, 8 AS w0, list(k[169] + list_dot_product(k[145:152], c) ORDER BY p) AS g FROM c GROUP BY vec_id, j),
+    u AS (SELECT vec_id, y, x, bool_or({_BETWEEN("g")} > 0) AS m FROM g, {_axis("y", 8, 64)} ys, {_axis("x", 8, 64)} xs GROUP BY vec_id, y, x),
+    t AS (SELECT vec_id, py * 40 + px AS i FROM (SELECT unnest(range(48)) AS py), (SELECT unnest(range(40)) AS px), u WHERE m AND y = floor(py * (56.0::DOUBLE / 48)) AND x = floor(px * (48.0::DOUBLE / 40)))
+    SELECT embeddings.vec_id, count(i) AS n_on, coalesce(sum(i), 0)::BIGINT AS places FROM embeddings LEFT JOIN t USING (vec_id) GROUP BY embeddings.vec_id"""
+_PROTO_MASK_SQL = f"""
+    WITH v AS (SELECT *, list_transform(range(32), lambda c: list_extract(e, (3 * c + 17 * j) % 64 + 1) * 4) AS k,
+                      (vec_id * 7 + 13 * j) % 40 AS cx, (vec_id * 5 + 11 * j) % 36 AS cy, 3 + (vec_id + j) % 17 AS bw, 4 + (vec_id * 3 + j) % 19 AS bh FROM ({_VECTORS})),
+    m AS (SELECT vec_id, j, 8 AS w0, list(CASE WHEN p % 8 BETWEEN floor((cx - bw / 2.0) / 4) AND ceil((cx + bw / 2.0) / 4) - 1 AND p // 8 BETWEEN floor((cy - bh / 2.0) / 4) AND ceil((cy + bh / 2.0) / 4) - 1
+                 THEN 1 / (1 + exp(-list_dot_product(list_transform(range(32), lambda c: list_extract(e, (p + 5 * c) % 64 + 1)), k))) ELSE 0.0::DOUBLE END ORDER BY p) AS m
+          FROM v, (SELECT unnest(range(64)) AS p) GROUP BY vec_id, j),
+    n AS (SELECT vec_id, j, 23 AS w0, list({_BETWEEN("m")} ORDER BY y, x) AS n FROM m, {_axis("y", 8, 32)} ys, {_axis("x", 8, 32)} xs WHERE x BETWEEN 4 AND 26 GROUP BY vec_id, j),
+    u AS (SELECT vec_id, y * 20 + x AS i FROM n, {_axis("y", 32, 28)} ys, {_axis("x", 23, 20)} xs GROUP BY vec_id, y, x HAVING bool_or({_BETWEEN("n")} > 0.5))
+    SELECT embeddings.vec_id, count(i) AS n_on, coalesce(sum(i), 0)::BIGINT AS places FROM embeddings LEFT JOIN u USING (vec_id) GROUP BY embeddings.vec_id"""
 
 
 def _warp(s, d):
@@ -166,6 +202,8 @@ _LUM = "0.299::DOUBLE * r_ + 0.587::DOUBLE * g_ + 0.114::DOUBLE * b_"
 _GREY = "((299 * r_ + 587 * g_ + 114 * b_ + 500) // 1000)"
 _FILL = lambda order, frame, part, f: f"{f}(CASE WHEN g % 3 <> 0 THEN g END IGNORE NULLS) OVER (PARTITION BY img, {part} ORDER BY {order} ROWS BETWEEN {frame})"
 ORACLES = {
+    "mask_head": _MASK_HEAD_SQL,
+    "proto_mask": _PROTO_MASK_SQL,
     "gray_chroma": f"SELECT img, y, x, {_GREY}::INT AS grey, greatest(r_, g_, b_) - least(r_, g_, b_) AS chroma FROM {_RGB}",
     "normalise": f"SELECT img, y, x, round(g / 127.5::DOUBLE - 1, 6) AS v, CASE WHEN g % 5 = 0 THEN 0.0 ELSE round((g - 127.5::DOUBLE) / 127.5::DOUBLE, 6) END AS masked FROM {P}",
     "denormalise": f"SELECT img, y, x, greatest(0, least(255, trunc((v / 300.0::DOUBLE + 1) * 127.5::DOUBLE)::INT)) AS g FROM {P}",
