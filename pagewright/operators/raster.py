@@ -1,4 +1,4 @@
-"""Images as pixel relations (img, y, x, v): filters over windows, resampling over joins on computed indices, masks."""
+"""Images as pixel relations (img, y, x, v): filters over windows, resampling over one array an image, masks."""
 
 from __future__ import annotations
 
@@ -61,46 +61,67 @@ def nearest_index(i: Column, src: int, dst: int) -> Column:
     return F.least(F.floor(i * F.lit(1.0 / (dst / src))).cast("int"), F.lit(src - 1))
 
 
-def resample_nearest(pixels: DataFrame, src: int, dst: int, value: str = "v") -> DataFrame:
-    """An equi-join of target places with the source index that each computes."""
-    grid = _grid(pixels, dst).withColumns({"sy": nearest_index(F.col("y"), src, dst), "sx": nearest_index(F.col("x"), src, dst)})
-    return grid.join(pixels.select("img", F.col("y").alias("sy"), F.col("x").alias("sx"), value), ["img", "sy", "sx"]).select("img", "y", "x", value)
+def whole_images(pixels: DataFrame, size: int, value: str) -> DataFrame:
+    """(img, a): the size x size values of each image as one array, row by row, after one exchange of its pixels. An image that lacks
+    pixels or repeats some is an error."""
+    at = (F.col("y") * size + F.col("x")).cast("int")
+    rows = pixels.groupBy("img").agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), F.col(value).alias("v")))).alias("c"))
+    whole = F.transform("c", lambda p: p["at"]) == F.sequence(F.lit(0), F.lit(size * size - 1))
+    return rows.select("img", F.when(whole, F.transform("c", lambda p: p["v"])).otherwise(F.raise_error(F.lit(f"an image is not whole: {size} x {size} pixels"))).alias("a"))
 
 
-def _grid(pixels: DataFrame, dst: int) -> DataFrame:
-    """The dst x dst target places of each image: bounded sequences, no join."""
-    at = F.sequence(F.lit(0), F.lit(dst - 1))
-    return pixels.select("img").distinct().withColumn("y", F.explode(at)).withColumn("x", F.explode(at))
+def sample(pixels: DataFrame, src: int, dst: int, value: str, place) -> DataFrame:
+    """(img, y, x, value) of dst x dst target places; place(tap, y, x) makes a value of the source pixels that tap(y, x) looks up in the
+    image's array, so that only results leave it."""
+    tap = lambda y, x: F.get("a", (y * src + x).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(dst * dst - 1)), lambda i: place(tap, F.floor(i / dst).cast("int"), i % dst))
+    out = whole_images(pixels, src, value).select("img", F.posexplode(cells).alias("i", value))
+    return out.select("img", F.floor(F.col("i") / dst).cast("int").alias("y"), (F.col("i") % dst).alias("x"), value)
 
 
-def resample_bilinear(pixels: DataFrame, src: int, dst: int, value: str = "v") -> DataFrame:
-    """Half-pixel centres, kept within the image; a place has four weighted taps, summed after one equi-join."""
+def resample_nearest(pixels: DataFrame, src: int, dst: int, value: str = "v") -> DataFrame:
+    return sample(pixels, src, dst, value, lambda tap, y, x: tap(nearest_index(y, src, dst), nearest_index(x, src, dst)))
 
-    def taps(c):
-        pos = F.greatest(F.lit(0.0), F.least(F.lit(float(src - 1)), (F.col(c) + 0.5) * (src / dst) - 0.5))
-        low = F.floor(pos).cast("int")
-        return F.array(F.struct(low.alias("at"), (1 - (pos - low)).alias("w")), F.struct(F.least(low + 1, F.lit(src - 1)).alias("at"), (pos - low).alias("w")))
 
-    return _weighted(_grid(pixels, dst), taps, pixels, value, F.sum)
+def blend(tap, y0: Column, y1: Column, fy: Column, x0: Column, x1: Column, fx: Column) -> Column:
+    """The bilinear value between four taps."""
+    return (1 - fy) * ((1 - fx) * tap(y0, x0) + fx * tap(y0, x1)) + fy * ((1 - fx) * tap(y1, x0) + fx * tap(y1, x1))
+
+
+def resample_bilinear(pixels: DataFrame, src: int, dst: int, value: str = "v") -> DataFrame:
+    """Half-pixel centres, kept within the image; the taps of an axis are constants of the plan."""
+    pos = [max(0.0, min(src - 1.0, (c + 0.5) * (src / dst) - 0.5)) for c in range(dst)]
+    low = [math.floor(p) for p in pos]
+    taps = [F.lit(x) for x in (low, [min(i + 1, src - 1) for i in low], [p - i for p, i in zip(pos, low, strict=True)])]
+    return sample(pixels, src, dst, value, lambda tap, y, x: blend(tap, *[F.get(t, c) for c in (y, x) for t in taps]))
 
 
 def resample_area(pixels: DataFrame, src: int, dst: int, value: str = "v") -> DataFrame:
-    """Mean over the covered source area: the interval join is a bounded explode and an equi-join."""
+    """Mean over the covered source area."""
     scale = src / dst
+    cells = lambda c: F.sequence(F.floor(c * scale).cast("int"), F.least(F.ceil((c + 1) * scale).cast("int") - 1, F.lit(src - 1)))
+    share = lambda c, k: (F.least((c + 1) * scale, k + 1.0) - F.greatest(c * scale, k.cast("double"))) / scale
+
+    def mean(tap, y, x):
+        row = lambda j: F.aggregate(cells(x), F.lit(0.0), lambda t, i: t + share(x, i) * tap(j, i))
+        return F.aggregate(cells(y), F.lit(0.0), lambda t, j: t + share(y, j) * row(j))
+
+    return sample(pixels, src, dst, value, mean)
+
 
-    def taps(c):
-        a, b = F.col(c) * scale, (F.col(c) + 1) * scale
-        cells = F.sequence(F.floor(a).cast("int"), F.least(F.ceil(b).cast("int") - 1, F.lit(src - 1)))
-        return F.transform(cells, lambda k: F.struct(k.alias("at"), ((F.least(b, k + 1.0) - F.greatest(a, k.cast("double"))) / scale).alias("w")))
+def warp(pixels: DataFrame, src: int, dst: int, h: list[float], value: str = "v") -> DataFrame:
+    """Bilinear values at the places to which a homography (eight numbers, row by row, the ninth 1) takes the target places."""
 
-    return _weighted(_grid(pixels, dst), taps, pixels, value, F.sum)
+    def taps(at):
+        inside = lambda c: F.greatest(F.lit(0), F.least(F.lit(src - 1), c)).cast("int")
+        low = F.floor(at)
+        return inside(low), inside(low + 1), at - low
 
+    def place(tap, y, x):
+        w = h[6] * x + h[7] * y + 1
+        return blend(tap, *taps((h[3] * x + h[4] * y + h[5]) / w), *taps((h[0] * x + h[1] * y + h[2]) / w))
 
-def _weighted(grid, taps, pixels, value, total) -> DataFrame:
-    t = grid.withColumn("ty", F.explode(taps("y"))).withColumn("tx", F.explode(taps("x")))
-    t = t.select("img", "y", "x", F.col("ty.at").alias("sy"), F.col("tx.at").alias("sx"), (F.col("ty.w") * F.col("tx.w")).alias("w"))
-    got = t.join(pixels.select("img", F.col("y").alias("sy"), F.col("x").alias("sx"), value), ["img", "sy", "sx"])
-    return got.groupBy("img", "y", "x").agg(total(F.col("w") * F.col(value)).alias(value))
+    return sample(pixels, src, dst, value, place)
 
 
 def fill_from_sides(pixels: DataFrame, mask: str, value: str, reach: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import heads as H
 from ..operators import raster as R
 from ..operators import sequence as S
+from ..operators.images import homography
 from ..sources.tables import BOXES, PIXELS as P, as_sql, bind, pixels, table
 
 B = as_sql(BOXES)
@@ -120,22 +121,12 @@ _PROTO_MASK_SQL = f"""
     SELECT embeddings.vec_id, count(i) AS n_on, coalesce(sum(i), 0)::BIGINT AS places FROM embeddings LEFT JOIN u USING (vec_id) GROUP BY embeddings.vec_id"""
 
 
+#: Corners of the warp: from a leaning quadrilateral to an upright square of 4 x 4.
+_H = [float(x) for x in homography([(0, 0), (7, 1), (6, 7), (1, 6)], [(0, 0), (3, 0), (3, 3), (0, 3)]).ravel()[:8]]
+
+
 def _warp(s, d):
-    """A perspective warp of each image to 4 x 4: the homography is solved once for the fixed corners, taps are bilinear."""
-    import numpy as np
-
-    src, dst = [(0, 0), (7, 1), (6, 7), (1, 6)], [(0, 0), (3, 0), (3, 3), (0, 3)]
-    a = [r for (x, y), (u, v) in zip(dst, src, strict=True) for r in ([x, y, 1, 0, 0, 0, -u * x, -u * y], [0, 0, 0, x, y, 1, -v * x, -v * y])]
-    h = [float(x) for x in np.linalg.solve(np.array(a, float), np.array([c for p in src for c in p], float))]
-    grid = R._grid(pixels(s, d), 4)
-    w = h[6] * F.col("x") + h[7] * F.col("y") + 1
-    at = grid.withColumns({"u": (h[0] * F.col("x") + h[1] * F.col("y") + h[2]) / w, "v": (h[3] * F.col("x") + h[4] * F.col("y") + h[5]) / w})
-    taps = [(dy, dx) for dy in (0, 1) for dx in (0, 1)]
-    clip = lambda c: F.greatest(F.lit(0), F.least(F.lit(7), c)).cast("int")
-    fu, fv = F.col("u") - F.floor("u"), F.col("v") - F.floor("v")
-    t = at.withColumn("t", F.explode(F.array(*[F.struct(clip(F.floor("v") + dy).alias("sy"), clip(F.floor("u") + dx).alias("sx"), ((fv if dy else 1 - fv) * (fu if dx else 1 - fu)).alias("w")) for dy, dx in taps])))
-    src_px = pixels(s, d).select("img", F.col("y").alias("sy"), F.col("x").alias("sx"), "g")
-    return t.select("img", "y", "x", "t.*").join(src_px, ["img", "sy", "sx"]).groupBy("img", "y", "x").agg(F.round(F.sum(F.col("w") * F.col("g")), 6).alias("g"))
+    return R.warp(pixels(s, d), 8, 4, _H, "g").withColumn("g", F.round("g", 6))
 
 
 def _sizes(s, d):
@@ -201,6 +192,13 @@ QUERIES = {
 _LUM = "0.299::DOUBLE * r_ + 0.587::DOUBLE * g_ + 0.114::DOUBLE * b_"
 _GREY = "((299 * r_ + 587 * g_ + 114 * b_ + 500) // 1000)"
 _FILL = lambda order, frame, part, f: f"{f}(CASE WHEN g % 3 <> 0 THEN g END IGNORE NULLS) OVER (PARTITION BY img, {part} ORDER BY {order} ROWS BETWEEN {frame})"
+_D = [f"({x!r}::DOUBLE)" for x in _H]
+_W = f"({_D[6]} * x + {_D[7]} * y + 1)"
+_TAP = lambda dy, dx: f"(CASE {dy} WHEN 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END) * (CASE {dx} WHEN 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END) * list_extract(gs, (greatest(0, least(7, floor(v) + {dy})) * 8 + greatest(0, least(7, floor(u) + {dx})) + 1)::INT)"
+_WARP_SQL = f"""
+    SELECT img, y, x, round({" + ".join(_TAP(dy, dx) for dy in (0, 1) for dx in (0, 1))}, 6) AS g
+    FROM (SELECT *, ({_D[0]} * x + {_D[1]} * y + {_D[2]}) / {_W} AS u, ({_D[3]} * x + {_D[4]} * y + {_D[5]}) / {_W} AS v
+          FROM (SELECT img, list(g ORDER BY y, x) AS gs FROM {P} GROUP BY img), (SELECT unnest(range(4)) AS y), (SELECT unnest(range(4)) AS x))"""
 ORACLES = {
     "mask_head": _MASK_HEAD_SQL,
     "proto_mask": _PROTO_MASK_SQL,
@@ -229,5 +227,6 @@ ORACLES = {
     "tier_dedupe": "SELECT page, k, tier FROM (SELECT *, lag(tier) OVER (PARTITION BY page ORDER BY k) AS b FROM (SELECT l_partkey AS page, (l_orderkey * 1000 + l_linenumber) * 100000 + l_suppkey AS k, l_returnflag AS tier FROM lineitem)) WHERE b IS NULL OR b <> tier",
     "extra_lines_union": f"SELECT page, id, CASE WHEN score < 500 THEN x1 ELSE x1 * 2 END AS x1 FROM {B}",
     "pixel_components": f"WITH RECURSIVE p AS MATERIALIZED (SELECT img, y, x, y * 8 + x AS pos FROM {P} WHERE g > 200), r(img, pos, root) AS (SELECT img, pos, pos FROM p UNION SELECT r.img, r.pos, q.pos FROM r JOIN p o ON o.img = r.img AND o.pos = r.root JOIN p q ON q.img = o.img AND abs(q.y - o.y) <= 1 AND abs(q.x - o.x) <= 1) SELECT img, (pos // 8)::INT AS y, (pos % 8)::INT AS x, min(root) AS comp FROM r GROUP BY img, pos",
+    "perspective_warp": _WARP_SQL,
     "rotate_ccw": f"SELECT img, 7 - x AS y, y AS x, g FROM {P}",
 }

@@ -86,3 +86,14 @@ def test_log_lines(spark):
     lines = spark.createDataFrame([(1, 1, "PAIR\tthreads=1\tpage=2\tcompared=3\tmismatches=0"), (1, 2, "PAIR\tthreads=1\tpage=2\tcompared=3\tmismatches=5"), (1, 3, "PAIR\tthre"), (1, 4, "X")], "run long, line_no long, line string")
     got = probe.pairs(probe.parse(lines)).first()
     assert (got["pairs"], got["compared"], got["mismatches"]) == (2, 1, 0)
+
+
+def test_resampling_needs_whole_images(spark):
+    cells = [(img, y, x, 10 * y + x) for img in (1, 2) for y in range(2) for x in range(2)]
+    fields = "img int, y int, x int, v int"
+    got = raster.resample_bilinear(spark.createDataFrame(cells, fields), 2, 1).collect()
+    assert sorted((r["img"], r["y"], r["x"], r["v"]) for r in got) == [(1, 0, 0, 5.5), (2, 0, 0, 5.5)]
+    assert raster.resample_nearest(spark.createDataFrame([], fields), 2, 3).count() == 0
+    for wrong in (cells[:-1], cells + cells[:1]):
+        with pytest.raises(Exception, match="not whole"):
+            raster.resample_nearest(spark.createDataFrame(wrong, fields), 2, 3).collect()
