@@ -151,6 +151,20 @@ def may_merge(a: Line, b: Line) -> bool:
     return abs(a.angle - b.angle) < math.radians(15) and d <= 3 * c and abs(a.font - b.font) / c <= 0.25
 
 
+def merges(lines: list[Line]):
+    """Pairs of lines that may merge, by a sweep from left to right: a line meets those that start within twice its font of its end."""
+    order = sorted(range(len(lines)), key=lambda i: lines[i].box[0])
+    for k, i in enumerate(order):
+        end = lines[i].box[2] + 2 * lines[i].font
+        for at in range(k + 1, len(order)):
+            j = order[at]
+            if lines[j].box[0] > end + 1e-6:
+                break
+            a, b = min(i, j), max(i, j)
+            if may_merge(lines[a], lines[b]):
+                yield a, b
+
+
 def line_distance(a: Line, b: Line) -> float:
     """Between the first corners, or the third ones where those lie closer together for the font."""
     f = max(a.font, b.font)
@@ -177,21 +191,19 @@ def components(n: int, edges) -> list[list[int]]:
 
 
 def spanning_tree(lines: list[Line], members: list[int]) -> list[tuple[float, int, int]]:
-    """Edges of the minimum spanning tree, ties in order of the lines."""
-    edges = sorted((line_distance(lines[a], lines[b]), a, b) for i, a in enumerate(members) for b in members[i + 1 :])
-    root = {m: m for m in members}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    out = []
-    for d, a, b in edges:
-        if (x := find(a)) != (y := find(b)):
-            root[y] = x
-            out.append((d, a, b))
-    return out
+    """Edges of the minimum spanning tree, ties in order of the lines. It grows line by line and holds one edge a line, not all pairs."""
+    near: dict[int, tuple[float, int, int]] = {}
+    out, new, rest = [], members[0], set(members[1:])
+    while rest:
+        for m in rest:
+            a, b = min(new, m), max(new, m)
+            e = (line_distance(lines[a], lines[b]), a, b)
+            if m not in near or e < near[m]:
+                near[m] = e
+        new = min(rest, key=near.__getitem__)
+        rest.remove(new)
+        out.append(near.pop(new))
+    return sorted(out)
 
 
 def split(lines: list[Line], members: list[int]) -> list[list[int]]:
@@ -228,9 +240,8 @@ def split(lines: list[Line], members: list[int]) -> list[list[int]]:
 def group_page(quads: list) -> list[dict]:
     """Regions of one page: lines in reading order, direction, angle in degrees, centre, oriented and upright box."""
     lines = [Line(q) for q in quads]
-    edges = [(i, j) for i in range(len(lines)) for j in range(i + 1, len(lines)) if may_merge(lines[i], lines[j])]
     out = []
-    for comp in components(len(lines), edges):
+    for comp in components(len(lines), merges(lines)):
         for part in split(lines, comp):
             own = [lines[m] for m in part]
             votes = {d: sum(x.direction == d for x in own) for d in dict.fromkeys(x.direction for x in own)}

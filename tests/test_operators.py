@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 from pathlib import Path
 
 import pytest
@@ -97,3 +98,20 @@ def test_resampling_needs_whole_images(spark):
     for wrong in (cells[:-1], cells + cells[:1]):
         with pytest.raises(Exception, match="not whole"):
             raster.resample_nearest(spark.createDataFrame(wrong, fields), 2, 3).collect()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sweep_and_tree_equal_all_pairs(seed):
+    draw = random.Random(seed)
+    lines = []
+    for _ in range(60):
+        x, y, w, h = draw.randrange(200), draw.randrange(200), draw.choice([4, 12, 40]), draw.choice([4, 12, 40])
+        lean = draw.choice([0, 0, 3])
+        lines.append(G.Line([(x + lean, y), (x + w + lean, y + lean), (x + w, y + h + lean), (x, y + h)]))
+    pairs = {(i, j) for i in range(60) for j in range(i + 1, 60) if G.may_merge(lines[i], lines[j])}
+    assert pairs and set(G.merges(lines)) == pairs
+    members, tree = list(range(seed, 60, 2)), []
+    for e in sorted((G.line_distance(lines[a], lines[b]), a, b) for a in members for b in members if a < b):
+        if len(G.components(60, [x[1:] for x in [*tree, e]])) < len(G.components(60, [x[1:] for x in tree])):
+            tree.append(e)
+    assert G.spanning_tree(lines, members) == tree
