@@ -80,13 +80,15 @@ def ensure_plan(manifest: DataFrame, listing: DataFrame) -> DataFrame:
     return rows.select("name", "role", F.when(same, "keep").when(F.col("here_size").isNull(), "fetch").otherwise("replace").alias("action"))
 
 
-def resolve_roles(files: DataFrame) -> DataFrame:
+def resolve_roles(files: DataFrame, *ties: str) -> DataFrame:
     """One row for each set of files (id, ord, name, path): a path for each role, null unless the three required ones are there.
-    The first match in list order counts; for the recogniser a name without `mixed` comes first."""
+    The first match in list order counts; for the recogniser a name without `mixed` comes first. Matches of equal ord are taken
+    in the order of the columns `ties`, then of their paths."""
     n = F.lower("name")
-    fits = lambda key: n.endswith(".param") & n.contains(key)
-    first = lambda key: F.min_by(F.when(fits(key), F.col("path")), F.when(fits(key), F.col("ord")))
-    ocr = F.min_by(F.when(fits("ocr"), F.col("path")), F.when(fits("ocr"), F.struct(n.contains("mixed").alias("mixed"), F.col("ord").alias("ord"))))
+    fits = lambda key: n.endswith(".param") & n.contains(key) & F.col("ord").isNotNull()
+    order = [F.col(c).alias(c) for c in ("ord", *ties, "path")]
+    first = lambda key, *before: F.min_by(F.when(fits(key), F.col("path")), F.when(fits(key), F.struct(*before, *order)))
+    ocr = first("ocr", n.contains("mixed").alias("mixed"))
     rows = files.groupBy("id").agg(ocr.alias("ocr"), first("dbnet").alias("detector"), first("aot").alias("inpainter"), first("manga_seg").alias("seg_a"), first("cartoonseg").alias("seg_b"))
     ready = F.col("ocr").isNotNull() & F.col("detector").isNotNull() & F.col("inpainter").isNotNull()
     return rows.select("id", ready.alias("ready"), *[F.when(ready, F.col(c)).alias(c) for c in ("ocr", "detector", "inpainter", "seg_a", "seg_b")])

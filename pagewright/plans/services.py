@@ -8,7 +8,7 @@ from ..functions.compat import upper_median
 from ..operators import layout as L
 from ..operators import probe as P
 from ..operators import providers as V
-from ..sources.tables import bind, table
+from ..sources.tables import bind, bind_placed, table
 
 # --- requests ---------------------------------------------------------------------------------------------------------
 REQUESTS = """
@@ -143,7 +143,7 @@ QUERIES = {
     "list_gemini": lambda s, d: V.list_gemini(_gemini(s, d)),
     "manifest_parse": _manifest,
     "ensure_plan": lambda s, d: V.ensure_plan(_manifest(s, d), _listing(s, d)),
-    "role_resolve": lambda s, d: V.resolve_roles(bind(s, d, FILES)),
+    "role_resolve": lambda s, d: V.resolve_roles(bind_placed(s, d, FILES, "lineitem"), "place"),
     "sha256_verify": lambda s, d: table(s, d, "documents").select("doc_id", (F.left(F.sha2("text", 256), F.lit(1)) < F.lit("8")).alias("low"), F.sha2("text", 256).alias("sha256")),
     "vertical_cells": lambda s, d: _layout(s, d).select("doc_id", F.size("cells").cast("bigint").alias("n"), F.array_join("cells", "|").alias("cells")),
     "vertical_fit": lambda s, d: _layout(s, d).select("doc_id", "size", "capacity"),

@@ -6,6 +6,7 @@ A binding is SQL over {table} placeholders that means the same in Spark and in D
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -20,6 +21,12 @@ def bind(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, **used)
 
 
+def bind_placed(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
+    """The rows of a binding that selects from the table `name` alone, with the place of the table's row: file, then row in it."""
+    rows = table(spark, sf_dir, name).select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("place"))
+    return spark.sql(sql.replace("SELECT ", "SELECT place, ", 1), **{name: rows})
+
+
 def as_sql(sql: str) -> str:
     """The binding as a subquery for DuckDB."""
     for t in TABLES:
