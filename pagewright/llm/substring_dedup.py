@@ -3,9 +3,10 @@
 A batch of documents becomes sorted immutable runs: for each Arrow batch and each range of hashes one row that packs the
 sorted 64-bit window hashes (gaps of 48 bits), and the document of each. Runs of earlier batches are stored the same way.
 For each range, stored and new runs are merge-joined into the smallest document of every hash; each new run is then matched
-against the merged run, and windows that start in a smaller document are answered. Answers and texts meet in a second
-exchange, where covered words go. The merged run can be stored as the index for the next batch; compact() merges stored
-runs into one.
+against the merged run, and for windows that start in a smaller document this one is asked for its words. Asks and texts meet
+in a second exchange, from which the asked passages go to the places of the documents that may lose them; there words are
+compared byte by byte, and those covered by equal windows go. The merged run can be stored as the index for the next batch,
+beside its texts; compact() merges stored runs into one.
 
 Merging streams over the runs of a range and holds one entry for each different hash, however many documents share it.
 """
@@ -18,6 +19,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
@@ -27,6 +29,8 @@ from .core import SPACE, U64, cut, drop_existing, fresh, gram_hashes, mix, parts
 WINDOW = 13
 #: Windows that one range of hashes may hold; the number of ranges follows the input.
 RANGE_WINDOWS = 1 << 20
+#: Windows that a task answers at a time.
+SEND_WINDOWS = 1 << 20
 RUN_SCHEMA = "bucket int, run binary, fresh boolean"
 
 
@@ -147,7 +151,8 @@ def _ranges(batches):
 
 
 def match_runs(runs: DataFrame, buckets: int, groups: int) -> DataFrame:
-    """(place, answers): keys of the windows of fresh runs that also start in a smaller document, by the place of the document."""
+    """(place, asks): which windows of a document are wanted where. For each window of a fresh run that also starts in a smaller
+    document, the smallest one is asked to send its words to the place of the run's document; asks go by the place of the asked."""
 
     def run(batches):
         for _, rows in _ranges(batches):
@@ -167,8 +172,9 @@ def match_runs(runs: DataFrame, buckets: int, groups: int) -> DataFrame:
                     x, d = unpack(spool.read(size))
                     at = np.minimum(np.searchsorted(h, x), len(h) - 1)
                     hit = (h[at] == x) & (low[at] < d)
-                    out_k.append(answer_key(x[hit], d[hit]))
-                    out_p.append(place_of(d[hit], groups))
+                    asked = low[at[hit]]
+                    out_k.append(ask(x[hit], asked, place_of(d[hit], groups), groups))
+                    out_p.append(place_of(asked, groups))
                     waiting += int(hit.sum())
                     if waiting > RANGE_WINDOWS:
                         yield _answers(out_k, out_p)
@@ -182,8 +188,10 @@ def match_runs(runs: DataFrame, buckets: int, groups: int) -> DataFrame:
 
 def _answers(keys: list, places: list) -> pa.RecordBatch:
     k, p = np.concatenate(keys), np.concatenate(places)
-    order = np.argsort(p, kind="stable")
+    order = np.lexsort((k, p))
     k, p = k[order], p[order]
+    new = (np.diff(p, prepend=-1) != 0) | (np.diff(k, prepend=U64(0)) != 0)  # one ask a window and place
+    k, p = k[new], p[new]
     first = np.flatnonzero(np.diff(p, prepend=-1))
     ends = np.append(first[1:], len(p))
     return pa.RecordBatch.from_arrays([pa.array(p[first], pa.int32()), pa.array([k[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary())], names=["place", "answers"])
@@ -197,17 +205,110 @@ def place_of(docs: np.ndarray, groups: int) -> np.ndarray:
     return (mix(docs.astype(np.int64).view(U64) + U64(7)) % U64(groups)).astype(np.int64)
 
 
-def remove(batch: pa.RecordBatch, text: str, keys: np.ndarray, answers: np.ndarray, window: int) -> dict:
-    """n_words, n_removed and kept (words joined by blanks) of the rows of a batch. answers: sorted."""
+def ask(h: np.ndarray, docs: np.ndarray, to: np.ndarray, groups: int) -> np.ndarray:
+    """An ask in 64 bits: the upper ones of the window's key in its document, below them the place that wants its words.
+    Equal upper bits of two windows only send words that nobody needs."""
+    bits = U64(max(1, (groups - 1).bit_length()))
+    return (answer_key(h, docs) >> bits << bits) | to.astype(U64)
+
+
+def passages(batch: pa.RecordBatch, text: str, keys: np.ndarray, asks: np.ndarray, groups: int, window: int):
+    """Batches of (place, doc, words): the asked windows of the rows of a batch, those that touch as one passage. asks: sorted.
+    A batch answers at most SEND_WINDOWS asks at once, or those of one window."""
+    w = words(batch.column(text), SPACE)
+    x = Windows(w, window)
+    bits = U64(max(1, (groups - 1).bit_length()))
+    wanted, k = asks >> bits, answer_key(x.hash, keys[x.row]) >> bits
+    low = np.searchsorted(wanted, k)
+    n = np.searchsorted(wanted, k, side="right") - low
+    some = np.flatnonzero(n)
+    low, n, first, row = low[some], n[some], x.first[some], x.row[some]
+    sums = np.cumsum(n)
+    i = 0
+    while i < len(n):
+        j = max(i + 1, int(np.searchsorted(sums, sums[i] - n[i] + SEND_WINDOWS, side="right")))
+        m = n[i:j]
+        which = np.repeat(np.arange(i, j), m)
+        to = (asks[np.repeat(low[i:j] - np.cumsum(m) + m, m) + np.arange(m.sum())] & ((U64(1) << bits) - U64(1))).astype(np.int64)
+        order = np.lexsort((which, to))
+        to, f, r = to[order], first[which[order]], row[which[order]]
+        new = np.ones(len(to), bool)
+        new[1:] = (to[1:] != to[:-1]) | (r[1:] != r[:-1]) | (f[1:] > f[:-1] + window)
+        at = np.flatnonzero(new)
+        begin, end = w.starts[f[at]], w.ends[f[np.append(at[1:], len(to)) - 1] + window - 1]
+        size, to, doc = end - begin, to[at], keys[r[at]]
+        a = 0
+        while a < len(at):  # some MB of words at a time, or one passage
+            total = np.cumsum(size[a:])
+            c = a + max(1, int(np.searchsorted(total, 8 << 20, side="right")))
+            offsets = np.concatenate([[0], total[: c - a]])
+            out = w.raw[np.repeat(begin[a:c] - offsets[:-1], size[a:c]) + np.arange(offsets[-1])]
+            column = pa.Array.from_buffers(pa.string(), c - a, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(out))])
+            yield pa.RecordBatch.from_arrays([pa.array(to[a:c], pa.int32()), pa.array(doc[a:c], pa.int64()), column], names=["place", "doc", "words"])
+            a = c
+        i = j
+
+
+def same_words(w, at: np.ndarray, v, to: np.ndarray, window: int) -> np.ndarray:
+    """Whether the windows of w that start at words `at` (ascending) have the words, byte by byte, of the windows of v at `to`.
+    Windows that follow each other on both sides are compared as one stretch, each word once."""
+    if not len(at):
+        return np.zeros(0, bool)
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (to[1:] != to[:-1] + 1)
+    head = np.flatnonzero(new)
+    n = np.diff(np.append(head, len(at))) + window - 1
+    base = np.cumsum(n) - n
+    step = np.arange(n.sum()) - np.repeat(base, n)
+    a, b = np.repeat(at[head], n) + step, np.repeat(to[head], n) + step
+    size = w.ends[a] - w.starts[a]
+    wrong = size != v.ends[b] - v.starts[b]
+    even = np.flatnonzero(~wrong)
+    if len(even):
+        size = size[even]
+        begin = np.cumsum(size) - size
+        inside = np.arange(size.sum())
+        unlike = w.raw[np.repeat(w.starts[a[even]] - begin, size) + inside] != v.raw[np.repeat(v.starts[b[even]] - begin, size) + inside]
+        wrong[even] = np.logical_or.reduceat(unlike, begin)
+    sums = np.concatenate([[0], np.cumsum(wrong)])
+    place = np.repeat(base - head, np.diff(np.append(head, len(at)))) + np.arange(len(at))
+    return sums[place + window] == sums[place]
+
+
+class Sent:
+    """The windows of the passages that came to a place, by hash, then document."""
+
+    def __init__(self, docs: np.ndarray, texts, window: int):
+        self.words = words(texts, SPACE)
+        x = Windows(self.words, window)
+        doc = docs[x.row]
+        order = np.lexsort((doc, x.hash))
+        self.hash, self.doc, self.first = x.hash[order], doc[order], x.first[order]
+
+    def covers(self, w, x: Windows, keys: np.ndarray, has_key: np.ndarray, window: int) -> np.ndarray:
+        """Whether a smaller document has sent the words of each window."""
+        out = np.zeros(len(x.first), bool)
+        if not len(self.hash):
+            return out
+        todo = np.flatnonzero(has_key[x.row])
+        at = np.searchsorted(self.hash, x.hash[todo])
+        while len(todo):  # a second round only where two windows share a hash
+            here = np.minimum(at, len(self.hash) - 1)
+            going = (at < len(self.hash)) & (self.hash[here] == x.hash[todo]) & (self.doc[here] < keys[x.row[todo]])
+            todo, at = todo[going], at[going]
+            out[todo] = same_words(w, x.first[todo], self.words, self.first[at], window)
+            todo, at = todo[~out[todo]], at[~out[todo]] + 1
+        return out
+
+
+def remove(batch: pa.RecordBatch, text: str, keys: np.ndarray, has_key: np.ndarray, sent: Sent, window: int) -> dict:
+    """n_words, n_removed and kept (words joined by blanks) of the rows of a batch."""
     w = words(batch.column(text), SPACE)
     x = Windows(w, window)
     edge = np.zeros(len(w.starts) + 1, np.int64)
-    if len(answers) and len(x.first):
-        k = answer_key(x.hash, keys[x.row])
-        at = np.minimum(np.searchsorted(answers, k), len(answers) - 1)
-        gone = x.first[answers[at] == k]
-        np.add.at(edge, gone, 1)
-        np.add.at(edge, gone + window, -1)
+    gone = x.first[sent.covers(w, x, keys, has_key, window)]
+    np.add.at(edge, gone, 1)
+    np.add.at(edge, gone + window, -1)
     stay = np.cumsum(edge)[:-1] == 0
     rows = len(batch)
     size = np.where(stay, w.ends - w.starts, 0)
@@ -246,21 +347,25 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
     runs = build_runs(docs, text, key, buckets, window)
     if index:
         runs = runs.unionByName(index.runs())
-    answers = match_runs(runs, buckets, groups)
+    asks = match_runs(runs, buckets, groups)
     place, got, kind = fresh(docs, "place", "answers", "kind")
-    number = F.coalesce(F.col(key).cast("long"), F.lit(0))
+    names, schema = docs.columns, docs.schema
 
     def locate(batches):
         for b in batches:
             k = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(place_of(k, groups), pa.int32())], names=[*b.schema.names[:-1], place])
 
-    located = docs.withColumn(place, number).mapInArrow(locate, StructType([*docs.schema.fields, StructField(place, IntegerType())]))
-    both = located.withColumns({kind: F.lit(1), got: F.lit(None).cast("binary")}).unionByName(answers.select(F.col("place").alias(place), F.col("answers").alias(got), F.lit(0).alias(kind)), allowMissingColumns=True)
-    dealt = both.repartition(groups, place).sortWithinPartitions(place, kind)
-    names = docs.columns
+    rows = docs.withColumn(kind, F.lit(1))
+    if index:  # stored documents send words and get no row
+        old = index.texts().select(F.col("key").cast(schema[key].dataType).alias(key), F.col("text").alias(text), F.lit(2).alias(kind))
+        rows = rows.unionByName(old, allowMissingColumns=True)
+    number = F.coalesce(F.col(key).cast("long"), F.lit(0))
+    located = rows.withColumn(place, number).mapInArrow(locate, StructType([*rows.schema.fields, StructField(place, IntegerType())]))
+    both = located.withColumn(got, F.lit(None).cast("binary")).unionByName(asks.select(F.col("place").alias(place), F.col("answers").alias(got), F.lit(0).alias(kind)), allowMissingColumns=True)
+    dealt = both.repartition(groups, place)
 
-    def finish(batches):
+    def send(batches):
         now, have, sorted_ = None, [], None
         for b in batches:
             p, k = b.column(place).to_numpy(zero_copy_only=False), b.column(kind).to_numpy(zero_copy_only=False)
@@ -272,15 +377,29 @@ def substring_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", wi
                     have += [np.frombuffer(x.as_py(), U64) for x in b.column(got).slice(i, j - i)]
                     continue
                 if sorted_ is None:
-                    sorted_ = np.sort(np.concatenate(have)) if have else np.zeros(0, U64)
+                    sorted_ = np.unique(np.concatenate(have)) if have else np.zeros(0, U64)
                     have = []
-                part = b.slice(i, j - i)
-                for s in slices(part, text, 8 << 20):
-                    ids = s.column(key).cast(pa.int64())
-                    r = remove(s, text, ids.fill_null(0).to_numpy(zero_copy_only=False), sorted_, window)
-                    yield pa.RecordBatch.from_arrays([*[s.column(c) for c in names], pa.array(r["n_words"]), pa.array(r["n_removed"]), r["kept"]], names=[*names, "n_words", "n_removed", "kept"])
+                if len(sorted_):
+                    part = b.slice(i, j - i)
+                    for s in slices(part.filter(part.column(key).is_valid()), text, 8 << 20):
+                        if s.num_rows:
+                            yield from passages(s, text, s.column(key).cast(pa.int64()).to_numpy(), sorted_, groups, window)
+
+    sent = dealt.sortWithinPartitions(place, kind).mapInArrow(send, "place int, doc long, words string").repartition(groups, "place")
+    added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())]
+
+    def finish(mine, came):
+        have = Sent(came.column("doc").to_numpy(), came.column("words"), window)
+        out = []
+        mine = mine.filter(pa.compute.equal(mine.column(kind), 1)).select(names)
+        for b in mine.combine_chunks().to_batches() if mine.num_rows else ():
+            for s in slices(b, text, 8 << 20):
+                ids = s.column(key).cast(pa.int64())
+                r = remove(s, text, ids.fill_null(0).to_numpy(zero_copy_only=False), s.column(key).is_valid().to_numpy(zero_copy_only=False), have, window)
+                out.append(pa.RecordBatch.from_arrays([*s.columns, pa.array(r["n_words"]), pa.array(r["n_removed"]), r["kept"]], names=[*names, "n_words", "n_removed", "kept"]))
+        return pa.Table.from_batches(out) if out else pa.Table.from_batches([], pa.schema([*mine.schema, ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())]))
 
-    return dealt.mapInArrow(finish, StructType([*docs.schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())]))
+    return dealt.groupBy(place).cogroup(sent.groupBy("place")).applyInArrow(finish, StructType([*schema.fields, *added]))
 
 
 class SubstringIndex:
@@ -311,10 +430,23 @@ class SubstringIndex:
             out = out.unionByName(self.spark.read.schema(out.schema).parquet(f"{self.path}/{name}"))
         return out.withColumn("fresh", F.lit(False))
 
+    def texts(self) -> DataFrame:
+        """(key, text) of all documents added: their words are compared with those of later ones."""
+        names = [x.getPath().getName() for x in self._files().listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(self.path))]
+        out = self.spark.createDataFrame([], "key long, text string")
+        have = [n for n in names if n.startswith("text-") and self._there(n)]
+        if self.stored() and not have:
+            raise ValueError(f"{self.path} holds runs without texts; add its documents again")
+        for name in have:
+            out = out.unionByName(self.spark.read.schema(out.schema).parquet(f"{self.path}/{name}"))
+        return out
+
     def _write(self, runs: DataFrame) -> None:
         self._merged(runs).write.parquet(f"{self.path}/run-{uuid.uuid4().hex}")
 
     def add(self, docs: DataFrame, text: str = "text", key: str = "doc_id") -> None:
+        kept = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+        kept.write.parquet(f"{self.path}/text-{uuid.uuid4().hex}")
         self._write(build_runs(docs, text, key, self.buckets, self.window))
 
     def compact(self) -> None:

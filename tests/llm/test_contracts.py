@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import DATA, same
 from pyspark.sql import functions as F
@@ -182,6 +183,16 @@ def test_substring_index_in_batches(spark):
     assert got == whole
 
 
+def test_windows_of_one_hash_and_other_words_stay(spark):
+    """Words of one length that polynomial hashes modulo 2**64 cannot tell apart."""
+    a = "".join("ab"[i.bit_count() % 2] for i in range(1 << 10))
+    b = a.translate(str.maketrans("ab", "ba"))
+    assert len(set(core.words(pa.array([a, b])).hashes.tolist())) == 1
+    rest = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"{rest} {a}"), (2, f"{rest} {b}"), (3, f"x {rest}  {a}\ty"), (None, f"{rest} {a}")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(docs).collect()} == {1: 0, 2: 0, 3: 13, None: 0}
+
+
 def test_runs_round_trip():
     r = np.random.default_rng(1)
     h = np.sort(np.concatenate([r.integers(0, 2**63, 500).astype(np.uint64), np.array([2**64 - 1], np.uint64)]))
