@@ -24,6 +24,8 @@ PIECE_BYTES = 512 << 10
 SALTS = 8
 #: Rows and bytes of the Arrow batches that Spark hands to a worker, where the session leaves them open.
 BATCH_ROWS, BATCH_BYTES = 4000, 16 << 20
+#: Edges from which components() needs no more rounds: 8 MB, in one task. Each round's plans cost the driver memory.
+FEW_EDGES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -271,11 +273,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Rounds of contraction: every node points at its smallest neighbour, pointers are squared until they end in
     roots, and edges move to the roots. Nodes with many edges cost partial minima only; each round is written to
-    the shared folder. The number of rounds is logarithmic.
+    the shared folder. The number of rounds is logarithmic. Once no more than FEW_EDGES between long nodes are left, one task
+    ends it.
     """
     todo = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct(), "edges")
     maps = []
-    while not todo.isEmpty():
+    while left := todo.count():
+        if left <= FEW_EDGES and {kind for _, kind in todo.dtypes} == {"bigint"}:
+            maps.append(cut(in_arrow(todo.coalesce(1), few_components, "node long, root long"), "points"))
+            break
         both = todo.unionByName(todo.select(F.col("b").alias("a"), F.col("a").alias("b")))
         point = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "points")
         while True:
@@ -287,9 +293,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 break
         maps.append(point)
         root = point.select("node", "root")
-        left = salted_lookup(todo.withColumnRenamed("a", "node"), root, ["node"], F.col("b")).select(F.col("node").alias("start"), F.col("root").alias("a"), "b")
-        left = salted_lookup(left.withColumnRenamed("b", "node"), root, ["node"], F.col("start")).select("a", F.col("root").alias("b"))
-        before, todo = todo, cut(left.where("a <> b").distinct(), "edges")
+        moved = salted_lookup(todo.withColumnRenamed("a", "node"), root, ["node"], F.col("b")).select(F.col("node").alias("start"), F.col("root").alias("a"), "b")
+        moved = salted_lookup(moved.withColumnRenamed("b", "node"), root, ["node"], F.col("start")).select("a", F.col("root").alias("b"))
+        before, todo = todo, cut(moved.where("a <> b").distinct(), "edges")
         discard(before)
     discard(todo)
     if not maps:
@@ -304,5 +310,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return out
 
 
+def few_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the edges (a, b), all of which one task holds; rounds as in components(), in numpy."""
+    ends = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not ends:
+        return
+    nodes, at = np.unique(np.concatenate([x for x, _ in ends] + [y for _, y in ends]), return_inverse=True)
+    a, b = at[: len(at) // 2], at[len(at) // 2 :]
+    root = np.arange(len(nodes))  # no place has a larger root than itself
+    while len(a):
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+        a, b = root[a], root[b]
+        a, b = a[a != b], b[a != b]
+    for s in range(0, len(nodes), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[s : s + 100_000]), pa.array(nodes[root[s : s + 100_000]])], names=["node", "root"])
+
+
 def sha256_hex(c: Column) -> Column:
     return F.sha2(c, 256)

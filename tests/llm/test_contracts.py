@@ -296,6 +296,35 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(21)}, 100: 50, 50: 50, 70: 50}
 
 
+def test_components_of_few_edges_take_few_jobs(spark):
+    """Plans of many rounds fill the driver's memory; rounds beyond FEW_EDGES and its end give the same roots."""
+    r = np.random.default_rng(4)
+    edges = [tuple(x) for x in (r.permutation(3000)[r.integers(0, 3000, (2500, 2))] - 1000).tolist()] + [(i, i + 1) for i in range(5000, 5400)] + [(9999, i) for i in range(6000, 6300)]
+    frame, sc = spark.createDataFrame(edges, "a long, b long").repartition(5), spark.sparkContext
+    sc.setJobGroup("few", "few")
+    got = {x["node"]: x["root"] for x in core.components(frame).collect()}
+    jobs = len(sc.statusTracker().getJobIdsForGroup("few"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    assert got == {x: find(x) for x in list(root)}
+    assert jobs <= 12
+    few, core.FEW_EDGES = core.FEW_EDGES, 300
+    try:
+        assert {x["node"]: x["root"] for x in core.components(frame).collect()} == got
+    finally:
+        core.FEW_EDGES = few
+
+
 def test_pipeline_equals_brute_force(spark):
     import corpus_pipeline
 
