@@ -487,7 +487,9 @@ def linked_classes(docs: DataFrame, text: str, key: str, table: DataFrame) -> Da
     wanted = salted_lookup(coarse.withColumnsRenamed({"node": "cls", "root": "comp"}), classes.select("cls", "id", "n"), ["cls"], F.col("cls"), how="inner")
     weight = wanted.groupBy("comp").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).cast("int").alias("chunks"))
     wanted = salted_lookup(wanted, weight, ["comp"], F.col("cls")).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
+    wanted = cut(wanted, "wanted")  # read twice; its joins would be planned and broadcast each time
     rows = cut(sets_of(docs, text, key, wanted).withColumn("side", F.col("chunk")), "sets")
+    discard(wanted)
     edges = cut(exact_edges(rows.withColumn("known", F.col("cls")), ["comp", "chunk"]), "links")
     large = rows.where("chunks > 1")
     if large.isEmpty():

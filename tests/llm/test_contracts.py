@@ -147,6 +147,16 @@ def test_boxes_of_parts_lose_no_pair(spark):
                 assert label[a + 1] == label[b + 1]
 
 
+def test_wanted_classes_are_joined_once(spark, monkeypatch):
+    """The classes whose sets are read come from the shared folder: their joins are not planned again for each use."""
+    plans, whole = [], jaccard_join.sets_of
+    monkeypatch.setattr(jaccard_join, "sets_of", lambda d, t, k, w: plans.append(w._jdf.queryExecution().optimizedPlan().toString()) or whole(d, t, k, w))
+    rows = [(i, " ".join(f"w{i // 2}x{j}" for j in range(40)) + f" end{i}") for i in range(6)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i in range(6)}
+    assert len(plans) == 1 and "Join" not in plans[0]
+
+
 def test_count_tree_equals_all_pairs():
     r = np.random.default_rng(5)
     sets = [np.unique(r.integers(0, 400, int(r.integers(5, 300))).astype(np.uint64)) for _ in range(150)]
